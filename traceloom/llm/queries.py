@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import distinct, pairs, runs, sets, similar
+from traceloom.llm import distinct, pairs, patterns, runs, sets, similar, tokens
+from traceloom.sources.cleaned import cleaned_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,24 @@ def p1_classes(s: SparkSession, d: str) -> DataFrame:
     return membership.join(degree, "rep", "left").select(F.col("id").alias("constraint_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
 
 
+# 2
+
+
+def _patterns(s: SparkSession, d: str, **kw) -> DataFrame:
+    log = cleaned_log(_read(s, d, "event_seq"), _read(s, d, "activity"))
+    return patterns.frequent_patterns(log, 0.05, **kw)
+
+
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    """Orders of 3 to 5 different activities that at least 5 % of the traces go through."""
+    return _patterns(s, d, shortest=3, longest=5, distinct=True).select(F.array_join("steps", " > ").alias("pattern"))
+
+
+def p2_closed(s: SparkSession, d: str) -> DataFrame:
+    """All frequent patterns with their supports, closed ones marked."""
+    return _patterns(s, d).select(F.array_join("steps", " > ").alias("pattern"), "n_traces", "closed")
+
+
 # 3
 
 
@@ -100,6 +119,22 @@ def p5_unions(s: SparkSession, d: str) -> DataFrame:
     return out.withColumn("error_bound", F.lit(distinct.ERROR_BOUND)).select("rule", "mined_day", "n_distinct", "error_bound")
 
 
+# 7
+
+
+def p7_ids(s: SparkSession, d: str) -> DataFrame:
+    """Token ids of every page."""
+    return tokens.encode(_read(s, d, "documents"))
+
+
+def p7_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Pages per outcome of encoding and decoding again."""
+    docs = _read(s, d, "documents").select("doc_id", "text")
+    back = tokens.decoded(tokens.encode(docs)).withColumnRenamed("text", "_back")
+    same = docs.join(back, "doc_id").select((F.coalesce("text", F.lit("")) == F.col("_back")).alias("same"))
+    return same.groupBy("same").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
