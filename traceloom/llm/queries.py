@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import distinct, pairs, patterns, runs, sets, similar, tokens
+from traceloom.llm import distinct, pairs, patterns, runs, sets, similar, stuffing, tokens
 from traceloom.sources.cleaned import cleaned_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +135,22 @@ def p7_round_trip(s: SparkSession, d: str) -> DataFrame:
     return same.groupBy("same").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
+# 9
+
+
+def p9_found(s: SparkSession, d: str) -> DataFrame:
+    """Pages of which more than half the words are repeated keywords, links or product tags."""
+    return stuffing.stuffed_pages(_read(s, d, "documents")).select("doc_id")
+
+
+def p9_curves(s: SparkSession, d: str) -> DataFrame:
+    """The rank-frequency fit and divergence of every page."""
+    from traceloom.session import materialize
+
+    counts = materialize(stuffing.page_counts(_read(s, d, "documents")))
+    return stuffing.page_curves(counts, stuffing.vocabulary(counts)).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
