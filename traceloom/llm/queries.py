@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm import distinct, pairs, patterns, runs, sets, similar, stuffing, tokens
+from traceloom.llm import distinct, leaks, pairs, patterns, runs, sets, similar, stuffing, tokens
 from traceloom.sources.cleaned import cleaned_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +135,20 @@ def p7_round_trip(s: SparkSession, d: str) -> DataFrame:
     return same.groupBy("same").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
+# 8
+
+
+def p8_found(s: SparkSession, d: str) -> DataFrame:
+    """Pages that print at least 22 consecutive words of a test passage, and the passage's item."""
+    return leaks.leaks(_read(s, d, "documents"), _read(s, d, "eval_item")).select("doc_id", "item_id")
+
+
+def p8_items(s: SparkSession, d: str) -> DataFrame:
+    """Test items that leaked: pages and the most words in a row."""
+    found = leaks.leaks(_read(s, d, "documents"), _read(s, d, "eval_item"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pages"), F.max("n_words").alias("n_words"))
+
+
 # 9
 
 
