@@ -11,9 +11,11 @@ frequent pattern: the greatest support of a closed pattern that contains it.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterable
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ from traceloom.session import broadcast_if_bounded, collect_bounded, materialize
 
 #: Traces per shard.
 SHARD = 20_000
-#: Events of frequent types from which a trace is cut to what patterns of the mined lengths can need.
-LONG = 2_048
+#: Events of frequent types beyond which a trace is set aside, and how many may be: a share of the least support.
+LONG, FEW = 32_768, 0.05
 #: Most frequent items, and most candidate patterns, that the driver holds.
 ITEMS, CANDIDATES = 100_000, 1_000_000
 
@@ -34,32 +36,68 @@ class Miner:
     def __init__(self, seqs: list[list[int]], least: float):
         self.seqs, self.least = seqs, least
         self.closed: dict[tuple, int] = {}
+        #: item -> sequence -> its positions
+        self.places: dict[int, dict[int, list[int]]] = {}
+        for i, s in enumerate(seqs):
+            for j, x in enumerate(s):
+                at = self.places.setdefault(x, {})
+                if i in at:
+                    at[i].append(j)
+                else:
+                    at[i] = [j]
 
     def run(self) -> dict[tuple, int]:
-        self._grow((), [(i, 0) for i in range(len(self.seqs))])
+        first = sorted(x for x, at in self.places.items() if len(at) >= self.least)
+        self._follows = self._pairs(first)
+        for x in first:
+            at = [(i, p[0] + 1) for i, p in self.places[x].items()]
+            if not self._insertable((x,), at, False):
+                self._grow((x,), at, set(first))
         return self.closed
 
-    def _grow(self, pattern: tuple, at: list[tuple[int, int]]) -> None:
-        ends: dict[int, list[tuple[int, int]]] = {}
-        seqs = self.seqs
+    def _pairs(self, items: list[int]) -> dict[int, set[int]]:
+        """For each item those that follow it in enough sequences: a comes before b if a's first place is before b's last."""
+        code = {x: k for k, x in enumerate(items)}
+        rows = [(i, code[x], p[0], p[-1]) for x in items for i, p in self.places[x].items()]
+        if not rows:
+            return {}
+        t = np.array(rows, np.int64)
+        t = t[np.argsort(t[:, 0], kind="stable")]
+        seq, n = np.unique(t[:, 0], return_counts=True)
+        start = np.cumsum(n) - n
+        counts = np.zeros(len(items) ** 2, np.int64)
+        for lo in range(0, len(seq), 4096):
+            m, st = n[lo : lo + 4096], start[lo : lo + 4096]
+            own = np.repeat(np.arange(st[0], st[-1] + m[-1]), np.repeat(m, m))
+            size = np.repeat(m, m)
+            other = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(np.repeat(st, m), size)
+            ok = t[own, 2] < t[other, 3]
+            counts += np.bincount(t[own, 1][ok] * len(items) + t[other, 1][ok], minlength=len(counts))
+        out: dict[int, set[int]] = {x: set() for x in items}
+        for k in np.flatnonzero(counts >= self.least).tolist():
+            out[items[k // len(items)]].add(items[k % len(items)])
+        return out
+
+    def _step(self, at: list[tuple[int, int]], x: int) -> list[tuple[int, int]]:
+        """The projection one step further: in which sequences x comes at or after the given places, and where the first such x ends."""
+        places, out = self.places[x], []
         for i, p in at:
-            s = seqs[i]
-            seen = set()
-            for j in range(p, len(s)):
-                x = s[j]
-                if x not in seen:
-                    seen.add(x)
-                    if x in ends:
-                        ends[x].append((i, j + 1))
-                    else:
-                        ends[x] = [(i, j + 1)]
-        if pattern and not any(len(e) == len(at) for e in ends.values()) and not self._insertable(pattern, at, True):
-            self.closed[pattern] = len(at)
-        for x, e in sorted(ends.items()):
+            have = places.get(i)
+            if have is not None and have[-1] >= p:
+                out.append((i, (have[0] if have[0] >= p else have[bisect_left(have, p)]) + 1))
+        return out
+
+    def _grow(self, pattern: tuple, at: list[tuple[int, int]], items: set[int]) -> None:
+        nxt = {}
+        for x in sorted(items & self._follows[pattern[-1]]):
+            e = self._step(at, x)
             if len(e) >= self.least:
-                grown = (*pattern, x)
-                if not self._insertable(grown, e, False):
-                    self._grow(grown, e)
+                nxt[x] = e
+        if not any(len(e) == len(at) for e in nxt.values()) and not self._insertable(pattern, at, True):
+            self.closed[pattern] = len(at)
+        for x, e in nxt.items():
+            if not self._insertable((*pattern, x), e, False):
+                self._grow((*pattern, x), e, set(nxt))
 
     def _insertable(self, pattern: tuple, at: list[tuple[int, int]], whole: bool) -> bool:
         """Whether some item stands before the same step of the pattern in every sequence.
@@ -82,8 +120,7 @@ class Miner:
                 while s[stop] != pattern[k]:
                     stop -= 1
                 if k in alive:
-                    lo = firsts[k - 1] if k else 0
-                    have = set(s[lo:stop])
+                    have = set(s[firsts[k - 1] if k else 0 : stop])
                     common[k] = have if common[k] is None else common[k] & have
                     if not common[k]:
                         alive.discard(k)
@@ -91,39 +128,34 @@ class Miner:
                 return False
         return True
 
+    def counts(self, patterns: list[tuple]) -> list[int]:
+        """In how many sequences each pattern occurs; patterns with a common start share its projection."""
+        out = [0] * len(patterns)
+        trie = prefix_tree(patterns)
+
+        def walk(node: dict, at: list[tuple[int, int]] | None) -> None:
+            for x, (k, below) in node.items():
+                if x not in self.places:
+                    continue
+                e = [(i, p[0] + 1) for i, p in self.places[x].items()] if at is None else self._step(at, x)
+                if k is not None:
+                    out[k] = len(e)
+                if e and below:
+                    walk(below, e)
+
+        walk(trie, None)
+        return out
+
 
-def count_into(seqs: Iterable[list[int]], patterns: list[tuple]) -> list[int]:
-    """In how many sequences each pattern occurs; patterns with a common start are matched together."""
+def prefix_tree(patterns: list[tuple]) -> dict:
+    """item -> [number of the pattern that ends here or None, tree below]."""
     root: dict = {}
     for k, p in enumerate(patterns):
         node = root
-        for x in p:
-            node = node.setdefault(x, [None, {}])[1] if x not in node else node[x][1]
-        cell = root
         for x in p[:-1]:
-            cell = cell[x][1]
-        cell[p[-1]][0] = k
-    counts = [0] * len(patterns)
-
-    def walk(s: list[int], j: int, node: dict) -> None:
-        left = len(node)
-        seen = set()
-        for q in range(j, len(s)):
-            x = s[q]
-            if x in node and x not in seen:
-                seen.add(x)
-                k, below = node[x]
-                if k is not None:
-                    counts[k] += 1
-                if below:
-                    walk(s, q + 1, below)
-                left -= 1
-                if not left:
-                    return
-
-    for s in seqs:
-        walk(s, 0, root)
-    return counts
+            node = node.setdefault(x, [None, {}])[1]
+        node.setdefault(p[-1], [None, {}])[0] = k
+    return root
 
 
 def subpatterns(patterns: Iterable[tuple], shortest: int = 1, longest: int | None = None) -> set[tuple]:
@@ -146,29 +178,48 @@ def recover(closed: dict[tuple, int], shortest: int = 1, longest: int | None = N
     return out
 
 
-def _needed(events: DataFrame, long: DataFrame, length: int) -> DataFrame:
-    """``(trace, _until)`` of long traces: the position up to which every pattern of at most ``length`` steps has its first match.
+def _long_counts(events: DataFrame, patterns: list[tuple]) -> dict[int, int]:
+    """In how many of the long traces ``(trace, pos, id)`` each pattern occurs.
 
-    The first step's first match ends at the latest where every type has occurred once; each further step's where every type that still occurs has
-    occurred again. So ``length`` rounds of "first occurrence per type, then the latest of these" bound all first matches.
+    Level by level over the tree of patterns: a trace's first match of a longer start ends at the first place of its last item after the
+    shorter start's end. One equi-join and one aggregation a level; a trace's events are never brought together.
     """
-    hint = broadcast_if_bounded(long)
-    own = materialize(events.join(hint, "trace"))
-    until = long.select("trace", F.lit(-(2**31)).cast("bigint").alias("_until"))
-    for _ in range(length):
-        nxt = own.join(broadcast_if_bounded(until), "trace").where(F.col("pos") > F.col("_until")).groupBy("trace", "id").agg(F.min("pos").alias("_p"))
-        step = nxt.groupBy("trace").agg(F.max("_p").cast("bigint").alias("_next"))
-        until = materialize(until.join(step, "trace", "left").select("trace", F.coalesce("_next", "_until").alias("_until")))
-    return until
+    spark = events.sparkSession
+    nodes: list[list[tuple[int, int, int, int]]] = []
+    todo = [(-1, prefix_tree(patterns))]
+    number = 0
+    while todo:
+        level, below_all = [], []
+        for parent, tree in todo:
+            for x, (k, below) in tree.items():
+                level.append((number, parent, x, -1 if k is None else k))
+                if below:
+                    below_all.append((number, below))
+                number += 1
+        nodes.append(level)
+        todo = below_all
+    out: dict[int, int] = {}
+    at = None
+    for level in nodes:
+        table = broadcast_if_bounded(spark.createDataFrame(level, "node int, parent int, id int, k int"))
+        if at is None:
+            hits = events.join(table, "id")
+        else:
+            here = at.select("trace", F.col("node").alias("parent"), F.col("end").alias("_from")).join(table, "parent")
+            hits = events.join(here, ["trace", "id"]).where("pos > _from")
+        at = materialize(hits.groupBy("trace", "node", "k").agg(F.min("pos").alias("end")))
+        for r in at.where("k >= 0").groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect():  # at most the candidates
+            out[r.k] = r.n
+    return out
 
 
-def closed_patterns(log: DataFrame, support: float, shard: int = SHARD, long: int = LONG, length: int = 8) -> tuple[dict[tuple, int], int]:
+def closed_patterns(log: DataFrame, support: float, shard: int = SHARD, long: int = LONG) -> tuple[dict[tuple, int], int]:
     """Closed patterns ``{(event types…): traces}`` and the number of traces of a log ``(trace, event_type, pos)``.
 
     A pattern counts once per trace and is kept if at least ``support`` of all traces have it. Rows with a null in any of the three columns are left out;
-    the order of rows with equal (trace, pos) is by type. Other columns are ignored; an empty log has no patterns. Long traces
-    are cut only as far as patterns of ``length`` steps cannot notice; if such long patterns turn up, ``length`` is doubled and mining repeated.
-    The frequent patterns themselves, not the data, have to fit the driver; their number is checked.
+    the order of rows with equal (trace, pos) is by type. Other columns are ignored; an empty log has no patterns. A few traces may hold most
+    events: traces of more than ``long`` events, as long as they are too few to matter much, are not mined but only matched with the candidates,
+    which are found with as many traces less. The frequent patterns themselves, not the data, have to fit the driver; their number is checked.
     """
     spark = log.sparkSession
     rows = materialize(log.select("trace", "event_type", "pos").dropna())
@@ -182,33 +233,41 @@ def closed_patterns(log: DataFrame, support: float, shard: int = SHARD, long: in
         return {}, n
     names = F.broadcast(spark.createDataFrame([(x, i) for i, x in enumerate(frequent)], "event_type string, id int"))  # bounded by ITEMS
     events = rows.join(names, "event_type").select("trace", "pos", "id")
-    sizes = per.join(names, "event_type").groupBy("trace").agg(F.sum("c").alias("n"))
-    longs = materialize(sizes.where(F.col("n") > long).select("trace"))
-    while True:
-        kept = events
-        if not longs.isEmpty():
-            until = broadcast_if_bounded(_needed(events, longs, length))
-            kept = events.join(until, "trace", "left").where(F.col("_until").isNull() | (F.col("pos") <= F.col("_until"))).drop("_until")
-        seqs = kept.groupBy("trace").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s")).select("trace", F.col("s.id").alias("items"))
-        total = sizes.count()
-        shards = max(1, math.ceil(total / shard))
-        parts = materialize(seqs.select(F.pmod(F.xxhash64("trace"), F.lit(shards)).cast("int").alias("shard"), "items"))
-        local = parts.groupBy("shard").applyInArrow(_mine(least / total), "pattern array<int>, n bigint")
+    sizes = materialize(per.join(names, "event_type").groupBy("trace").agg(F.sum("c").alias("n")))
+    over = sizes.where(F.col("n") > long)
+    few = int(least * FEW)
+    h = over.count()
+    while h > few:  # too many to be set aside: only longer ones are
+        long *= 2
+        over = sizes.where(F.col("n") > long)
+        h = over.count()
+    ordinary = events
+    if h:
+        apart = F.broadcast(materialize(over.select("trace")))  # at most FEW of the least support
+        ordinary = events.join(apart, "trace", "left_anti")
+    total = sizes.count() - h
+    shards = max(1, math.ceil(total / shard))
+    seqs = ordinary.groupBy("trace").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
+    parts = materialize(seqs.select(F.pmod(F.xxhash64("trace"), F.lit(shards)).cast("int").alias("shard"), F.col("s.id").alias("items")))
+    found: list[tuple] = []
+    if total:
+        local = parts.groupBy("shard").applyInArrow(_mine(max(least - h, 1) / total), "pattern array<int>, n bigint")
         found = [tuple(r[0]) for r in collect_bounded(materialize(local.select("pattern").distinct()), CANDIDATES, "local closed patterns")]
-        if max(map(len, found), default=0) < length:
-            break
-        length *= 2
     cand = sorted(subpatterns(found))
     if not cand:
         return {}, n
-    counted = parts.groupBy("shard").applyInArrow(_count(cand), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    exact = {cand[r.k]: r.n for r in counted.collect()}  # at most the candidates
+    counted = parts.groupBy("shard").applyInArrow(_count(cand), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= least - h)
+    exact = {r.k: r.n for r in counted.collect()}  # at most the candidates
+    if h:
+        more = _long_counts(materialize(events.join(apart, "trace")), [cand[k] for k in sorted(exact)])
+        exact = {k: c + more.get(i, 0) for i, (k, c) in enumerate(sorted(exact.items()))}
+    kept = {cand[k]: c for k, c in exact.items() if c >= least}
     shorter: dict[tuple, int] = {}
-    for p, c in exact.items():
+    for p, c in kept.items():
         for i in range(len(p)):
             q = p[:i] + p[i + 1 :]
             shorter[q] = max(shorter.get(q, 0), c)
-    return {tuple(frequent[i] for i in p): c for p, c in exact.items() if shorter.get(p) != c}, n
+    return {tuple(frequent[i] for i in p): c for p, c in kept.items() if shorter.get(p) != c}, n
 
 
 def _lists(table: pa.Table) -> list[list[int]]:
@@ -226,7 +285,7 @@ def _mine(share: float):
 
 def _count(cand: list[tuple]):
     def run(table: pa.Table) -> pa.Table:
-        counts = count_into(_lists(table), cand)
+        counts = Miner(_lists(table), 1).counts(cand)
         some = [(k, c) for k, c in enumerate(counts) if c]
         return pa.table({"k": pa.array([k for k, _ in some], pa.int32()), "n": pa.array([c for _, c in some], pa.int64())})
 
