@@ -27,6 +27,8 @@ WINDOW, BLOCK, TABLE = 12, 6, 1 << 22
 SHARED, STRINGS = 3, 24
 #: Letters of a passage covered by strings on one diagonal (within ``SLACK`` letters) from which the passage is followed on the page.
 COVERED, SLACK = 30, 16
+#: Letters without a string after which a diagonal is followed anew.
+BREAK = 64
 #: Words that must run on; the share of them that may be misread, and that may not be recognisable at all.
 MIN_WORDS, MISREAD, LOST = 22, 0.3, 0.1
 #: Misread words at the ends of a stretch cannot be told from words outside it; so many of ``MIN_WORDS`` may be missing.
@@ -199,7 +201,7 @@ def scan(stream: np.ndarray, pat: Patterns) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(stream: np.ndarray, bounds: np.ndarray, pat: Patterns) -> list[tuple[int, int, int, int]]:
-    """``(page, passage, position on the page, position in the passage)``: one anchor per page, passage and diagonal with enough strings on it."""
+    """``(page, passage, position on the page, position in the passage)``: one anchor per stretch of a diagonal with enough strings on it."""
     start, slot = scan(stream, pat)
     if not len(start):
         return []
@@ -225,6 +227,7 @@ def candidates(stream: np.ndarray, bounds: np.ndarray, pat: Patterns) -> list[tu
             fresh[1:] = g[1:] != g[:-1]
         else:
             fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in (page, k, bin_)], axis=0)
+        fresh[1:] |= qq[1:] - qq[:-1] > BREAK
         gain = np.full(len(order), WINDOW)
         gain[1:] = np.where(fresh[1:], WINDOW, np.minimum(WINDOW, qq[1:] - qq[:-1]))
         at = np.flatnonzero(fresh)
@@ -232,7 +235,7 @@ def candidates(stream: np.ndarray, bounds: np.ndarray, pat: Patterns) -> list[tu
         for g in np.flatnonzero(cover >= COVERED).tolist():
             lo, hi = at[g], at[g + 1] if g + 1 < len(at) else len(order)
             i = order[(lo + hi) // 2]
-            out.setdefault((int(page[i]), int(k[i]), int(q[i]) // 64), (int(page[i]), int(k[i]), int(j[i]), int(q[i])))
+            out.setdefault((int(page[i]), int(k[i]), int(j[i] - q[i]) // SLACK, int(q[i]) // BREAK), (int(page[i]), int(k[i]), int(j[i]), int(q[i])))
     return list(out.values())
 
 
