@@ -52,12 +52,20 @@ def plain_word(w: str) -> str:
 _TABLE = {ord(a): b for a, b in zip(_FROM + "ﬂﬁ", _TO + "ff")}
 
 
+def _language(lang: str) -> Column:
+    return F.lower(F.coalesce(F.trim(lang), F.lit("und"))).alias("lang")
+
+
+#: What tells pages apart.
+PAGE = ["key", "lang"]
+
+
 def page_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(key, lang, word, f)``: how often each word is on each page. One shuffle lays pages out by key; their words need no other."""
+    """``(key, lang, word, f)``: how often each word is on each page, a page being a key and its language. One shuffle lays pages out by key; their words need no other."""
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    pages = rows.select(F.col(key).alias("key"), F.lower(F.coalesce(F.trim(lang), F.lit("und"))).alias("lang"), F.col(text).alias("text")).repartition("key")
+    pages = rows.select(F.col(key).alias("key"), _language(lang), F.col(text).alias("text")).repartition("key")
     listed = pages.select("key", "lang", F.explode(words(F.col("text"))).alias("word"))
-    return listed.groupBy("key", "word").agg(F.min("lang").alias("lang"), F.count(F.lit(1)).cast("int").alias("f"))
+    return listed.groupBy(*PAGE, "word").agg(F.count(F.lit(1)).cast("int").alias("f"))
 
 
 def vocabulary(counts: DataFrame, on_pages: float = ON_PAGES) -> DataFrame:
@@ -66,7 +74,7 @@ def vocabulary(counts: DataFrame, on_pages: float = ON_PAGES) -> DataFrame:
     Its size is bounded by the words on an average page divided by ``on_pages``, for each language.
     """
     per = materialize(counts.groupBy("lang", "word").agg(F.sum("f").alias("f"), F.count(F.lit(1)).alias("pages")).where("pages > 1"))
-    sizes = counts.groupBy("key").agg(F.min("lang").alias("lang"), F.sum("f").alias("n")).groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("all_pages"))
+    sizes = counts.groupBy(*PAGE).agg(F.sum("f").alias("n")).groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("all_pages"))
     sizes = materialize(sizes)
     each = per.join(F.broadcast(sizes), "lang")  # one row per language
     every = per.groupBy("word").agg(F.sum("f").alias("f"), F.sum("pages").alias("pages")).crossJoin(F.broadcast(sizes.agg(F.sum("total").alias("total"), F.sum("all_pages").alias("all_pages"))))
@@ -83,20 +91,20 @@ def page_curves(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """
     own = broadcast_if_bounded(vocab.where("lang <> '*'"))
     rated = counts.join(own, ["lang", "word"], "left").withColumn("q", F.coalesce("q", F.lit(RARE)))
-    sums = rated.groupBy("key").agg(
-        F.min("lang").alias("lang"), F.sum("f").alias("n"), F.count(F.lit(1)).alias("types"), F.sum(F.col("f") * F.log("f")).alias("_flogf"), F.sum(F.col("f") * F.log("q")).alias("_flogq")
+    sums = rated.groupBy(*PAGE).agg(
+        F.sum("f").alias("n"), F.count(F.lit(1)).alias("types"), F.sum(F.col("f") * F.log("f")).alias("_flogf"), F.sum(F.col("f") * F.log("q")).alias("_flogq")
     )
-    spectrum = counts.groupBy("key", "f").agg(F.count(F.lit(1)).alias("k"))
-    down = Window.partitionBy("key").orderBy(F.desc("f"))
+    spectrum = counts.groupBy(*PAGE, "f").agg(F.count(F.lit(1)).alias("k"))
+    down = Window.partitionBy(*PAGE).orderBy(F.desc("f"))
     ranked = spectrum.withColumn("_r", F.sum("k").over(down) - (F.col("k") - 1) / 2)
     x, y, k = F.log("_r"), F.log("f"), F.col("k")
-    moments = ranked.groupBy("key").agg(*[F.sum(k * e).alias(name) for name, e in (("w", F.lit(1.0)), ("sx", x), ("sy", y), ("sxx", x * x), ("sxy", x * y), ("syy", y * y))])
+    moments = ranked.groupBy(*PAGE).agg(*[F.sum(k * e).alias(name) for name, e in (("w", F.lit(1.0)), ("sx", x), ("sy", y), ("sxx", x * x), ("sxy", x * y), ("syy", y * y))])
     cxx, cxy, cyy = F.expr("sxx - sx * sx / w"), F.expr("sxy - sx * sy / w"), F.expr("syy - sy * sy / w")
     slope = F.when(cxx > 1e-9, cxy / cxx).otherwise(0.0)
     residual = F.sqrt(F.greatest(F.lit(0.0), (cyy - slope * cxy) / F.col("w")))
-    fitted = moments.select("key", slope.alias("slope"), residual.alias("residual"))
+    fitted = moments.select(*PAGE, slope.alias("slope"), residual.alias("residual"))
     apart = F.col("_flogf") / F.col("n") - F.log("n") - F.col("_flogq") / F.col("n")
-    return sums.select("key", "lang", "n", "types", apart.alias("divergence")).join(fitted, "key")
+    return sums.select(*PAGE, "n", "types", apart.alias("divergence")).join(fitted, PAGE)
 
 
 def suspects(curves: DataFrame, spreads: float = SPREADS, group: int = GROUP) -> DataFrame:
@@ -124,13 +132,13 @@ def suspects(curves: DataFrame, spreads: float = SPREADS, group: int = GROUP) ->
 
 def keywords(counts: DataFrame, chosen: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(key, kw)``: of the chosen pages ``(key, lang, n)``, the words far more frequent there than in their language and overall."""
-    few = counts.where(F.col("f") >= TIMES).join(broadcast_if_bounded(chosen.select("key", "n")), "key")
+    few = counts.where(F.col("f") >= TIMES).join(broadcast_if_bounded(chosen.select(*PAGE, "n")), PAGE)
     own = broadcast_if_bounded(vocab.where("lang <> '*'"))
     alle = broadcast_if_bounded(vocab.where("lang = '*'").select("word", F.col("q").alias("_all")))
     rated = few.join(own, ["lang", "word"], "left").join(alle, "word", "left")
     usual = F.greatest(F.coalesce("q", F.lit(RARE)), F.coalesce("_all", F.lit(RARE)))
     high = (F.length("word") >= 3) & ~F.col("word").rlike(r"^\d+$") & (F.col("f") >= F.lit(EXCESS) * usual * F.col("n"))
-    return rated.where(high).groupBy("key").agg(F.collect_set("word").alias("kw"))
+    return rated.where(high).groupBy(*PAGE).agg(F.collect_set("word").alias("kw"))
 
 
 _BROKEN = re.compile(BROKEN)
@@ -173,17 +181,17 @@ def stuffed_share(text: str | None, kw: set[str]) -> float:
 def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", share: float = 0.5) -> DataFrame:
     """``(key, n, slope, residual, divergence, share)``: pages with more than ``share`` of their words stuffed.
 
-    Null, empty and blank texts have no words and are never found; rows with a null key are left out; rows that repeat a key are one page to the
-    counts and reported once. An unknown language (null) is a language of its own. Other columns are not read. The words of a page are one
+    Null, empty and blank texts have no words and are never found; rows with a null key are left out; rows that repeat a key and language are one page to the
+    counts, and a key is reported once. An unknown language (null) is a language of its own. Other columns are not read. The words of a page are one
     group; a page is a bounded record.
     """
     counts = materialize(page_counts(docs, key, text, lang))
     vocab = vocabulary(counts)
     curves = page_curves(counts, vocab)
     odd = materialize(suspects(curves))
-    marks = materialize(odd.join(keywords(counts, odd, vocab), "key", "left"))
-    read = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    texts = read.join(broadcast_if_bounded(marks), "key")
+    marks = materialize(odd.join(keywords(counts, odd, vocab), PAGE, "left"))
+    read = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), _language(lang), F.col(text).alias("text"))
+    texts = read.join(broadcast_if_bounded(marks), PAGE)
     kind = docs.schema[key].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
