@@ -43,7 +43,7 @@ def p1_classes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _patterns(s: SparkSession, d: str, **kw) -> DataFrame:
-    log = cleaned_log(_read(s, d, "event_seq"), _read(s, d, "activity"))
+    log = cleaned_log(_read(s, d, "event_seq"), _read(s, d, "activity"), runs.CHUNK)
     return patterns.frequent_patterns(log, 0.05, **kw)
 
 
