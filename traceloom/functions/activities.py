@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from traceloom.session import broadcast_if_bounded, collect_bounded, materialize
 
 #: The catalogue is a small reference table; it is compared with every unknown spelling, so its size is checked.
-CATALOGUE_ROWS = 20_000
+CATALOGUE_ROWS = 5_000
 
 
 def letters(c: Column) -> Column:

@@ -15,24 +15,24 @@ def instances(f: Facts) -> DataFrame:
     return f.st.select(F.col("event_type").alias("event_a"), F.col("c").alias("instances"), "trace")
 
 
-def existence_counts(f: Facts, rule: str) -> DataFrame:
-    """``(rule, event_a, instances, n_traces)`` for the observed numbers k of each activity.
+def existence_counts(f: Facts, *rules: str) -> DataFrame:
+    """``(rule, event_a, instances, n_traces)`` for the observed numbers k of each activity, all rules from one aggregation.
 
     exactly: traces with k occurrences. existence: at least k. absence: fewer than k, also none; k goes to one more than the greatest
     observed number, where it holds for all traces. Rows that hold in no trace are left out.
     """
-    exact = f.st.groupBy(F.col("event_type").alias("event_a"), F.col("c").alias("instances")).agg(F.count(F.lit(1)).alias("n_traces"))
-    if rule == "exactly":
-        got = exact
-    else:
-        w = Window.partitionBy("event_a").orderBy(F.desc("instances"))
-        at_least = exact.select("event_a", "instances", F.sum("n_traces").over(w).alias("n_traces"))
-        if rule == "existence":
-            got = at_least
-        else:
-            beyond = exact.groupBy("event_a").agg((F.max("instances") + 1).alias("instances")).withColumn("n_traces", F.lit(0).cast("bigint"))
-            got = at_least.unionByName(beyond).crossJoin(F.broadcast(f.n)).select("event_a", "instances", (F.col("n_all") - F.col("n_traces")).alias("n_traces"))
-    return got.where("n_traces > 0").select(F.lit(rule).alias("rule"), "event_a", "instances", "n_traces")
+    exact = f.st.groupBy(F.col("event_type").alias("event_a"), F.col("c").alias("instances")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("event_a").orderBy(F.desc("instances"))
+    more = exact.select("event_a", "instances", "n", F.sum("n").over(w).alias("at_least"), (F.row_number().over(w) == 1).alias("top")).crossJoin(F.broadcast(f.n))
+    item = lambda rule, k, n: F.struct(F.lit(rule).alias("rule"), k.alias("instances"), n.alias("n_traces"))
+    k = F.col("instances")
+    items = {
+        "exactly": [item("exactly", k, F.col("n"))],
+        "existence": [item("existence", k, F.col("at_least"))],
+        "absence": [item("absence", k, F.col("n_all") - F.col("at_least")), item("absence", F.when(F.col("top"), k + 1), F.col("n_all"))],
+    }
+    long = more.select("event_a", F.explode(F.array(*[x for r in rules for x in items[r]])).alias("_x"))
+    return long.select("_x.rule", "event_a", "_x.instances", "_x.n_traces").where("n_traces > 0 and instances is not null")
 
 
 def existence_rows(f: Facts, rule: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.operators.neighbours import with_neighbours
+from traceloom.session import materialize
 
 
 def occurrences(log: DataFrame) -> DataFrame:
@@ -36,10 +37,23 @@ def trace_types(occ: DataFrame) -> DataFrame:
 
 @dataclass
 class Facts:
-    """``occ``: events with neighbours; ``st``: per trace and type; ``traces``: the trace universe; ``types``: the activities."""
+    """``occ``: events with neighbours; ``st``: per trace and type; ``traces``: the trace universe; ``types``: the activities.
+
+    ``kept``: the tables are stored; what several rules derive from them is stored too (in ``memo``).
+    """
 
     occ: DataFrame
     st: DataFrame
+    kept: bool = False
+    memo: dict = field(default_factory=dict)
+
+    def once(self, name: str, make) -> DataFrame:
+        """A derived table: made anew for a single rule, stored on first use where the facts are kept."""
+        if not self.kept:
+            return make()
+        if name not in self.memo:
+            self.memo[name] = materialize(make())
+        return self.memo[name]
 
     @property
     def traces(self) -> DataFrame:
@@ -52,11 +66,13 @@ class Facts:
     @property
     def n(self) -> DataFrame:
         """One row: the number of traces."""
-        return self.st.agg(F.countDistinct("trace").alias("n_all"))
+        return self.once("n", lambda: self.st.agg(F.countDistinct("trace").alias("n_all")))
 
 
 def build_facts(log: DataFrame, keep: bool = False) -> Facts:
-    """The facts of a log. ``keep`` caches the per-trace table for several rule families."""
+    """The facts of a log. ``keep`` stores both tables, for several rules to be computed from them."""
     occ = occurrences(log)
-    st = trace_types(occ)
-    return Facts(occ, st.persist() if keep else st)
+    if not keep:
+        return Facts(occ, trace_types(occ))
+    occ = materialize(occ)
+    return Facts(occ, materialize(trace_types(occ)), True)

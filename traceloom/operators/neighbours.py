@@ -16,15 +16,16 @@ def with_neighbours(df: DataFrame, keys: list[str], order: str, values: list[str
     chunk (one row per key and chunk) are linked by a second window over chunk edges, and only keys of several chunks take part.
     A key that holds a third of all rows is thus spread over many tasks. ``order`` must be unique within a key and not null.
     """
-    rows = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
     parts = [*keys, "_chunk"]
+    # one shuffle, which the windows and the chunk edges share
+    source = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk))).repartition(*parts)
+    rows = source
     w = Window.partitionBy(*parts).orderBy(order)
     for v in values:
         rows = rows.withColumn(f"prev_{v}", F.lag(v).over(w))
         if ahead:
             rows = rows.withColumn(f"next_{v}", F.lead(v).over(w))
     item = F.struct(*values)
-    source = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
     ends = source.groupBy(*parts).agg(F.min_by(item, order).alias("_first"), F.max_by(item, order).alias("_last"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     along = Window.partitionBy(*keys).orderBy("_chunk")
     edges = (

@@ -70,7 +70,7 @@ def ordered_rows(f: Facts, rule: str) -> DataFrame:
     elif rule in ("precedence", "succession"):
         got = _pairs(f).where("(event_a <> event_b and mn_a < mn_b) or (event_a = event_b and c_a >= 2)")
     elif rule in ("alternate-response", "alternate-precedence", "alternate-succession"):
-        alt = alternations(f).join(_pairs(f).where("event_a <> event_b"), cols)
+        alt = f.once("alternations", lambda: alternations(f)).join(_pairs(f).where("event_a <> event_b"), cols)
         want = {"alternate-response": "g = c_a", "alternate-precedence": "g = c_b", "alternate-succession": "g = c_a and g = c_b"}[rule]
         got = alt.where(want)
         if rule == "alternate-precedence":
@@ -103,10 +103,52 @@ def _chain_precedence(f: Facts) -> DataFrame:
     return only.select(F.col("min_prev").alias("event_a"), F.col("event_type").alias("event_b"), "trace")
 
 
-def ordered_counts(f: Facts, rule: str) -> DataFrame:
-    """``(rule, event_a, event_b, n_traces)``. not-succession is all traces minus those with response, without its trace lists."""
-    if rule == "not-succession":
-        held = ordered_counts(f, "response")
-        got = held.crossJoin(F.broadcast(f.n)).select("event_a", "event_b", (F.col("n_all") - F.col("n_traces")).alias("n_traces")).where("n_traces > 0")
-        return got.select(F.lit(rule).alias("rule"), "event_a", "event_b", "n_traces")
-    return ordered_rows(f, rule).groupBy("rule", "event_a", "event_b").agg(F.count(F.lit(1)).alias("n_traces"))
+#: rule -> condition on a row of the pair table
+FLAGS = {
+    "response": "true",
+    "precedence": "prec",
+    "succession": "prec",
+    "alternate-response": "alt_r",
+    "alternate-precedence": "alt_p or (event_a = event_b and prec)",
+    "alternate-succession": "alt_r and alt_p",
+    "chain-response": "ch_r",
+    "chain-precedence": "ch_p",
+    "chain-succession": "ch_r and ch_p",
+    "not-chain-succession": "alt_r and not ch_r",
+}
+
+
+def pair_table(f: Facts, alternate: bool = True) -> DataFrame:
+    """``(event_a, event_b, trace, prec, alt_r, alt_p, ch_r, ch_p)`` of all pairs with a response: every ordered rule implies one."""
+    x = f.st.selectExpr("trace", "event_type as event_a", "c as c_a", "mn as mn_a", "case when n_next = c and min_next = max_next then min_next end as only_next")
+    y = f.st.selectExpr("trace", "event_type as event_b", "c as c_b", "mn as mn_b", "mx as mx_b", "case when n_prev = c and min_prev = max_prev then min_prev end as only_prev")
+    rows = x.join(y, "trace").where("mn_a < mx_b")
+    differ = F.col("event_a") != F.col("event_b")
+    if alternate:
+        rows = rows.join(f.once("alternations", lambda: alternations(f)), ["event_a", "event_b", "trace"], "left")
+    else:
+        rows = rows.withColumn("g", F.lit(0))
+    yes = lambda c: F.coalesce(c, F.lit(False)) & differ
+    return rows.select(
+        "event_a", "event_b", "trace", F.when(differ, F.col("mn_a") < F.col("mn_b")).otherwise(F.col("c_a") >= 2).alias("prec"),
+        yes(F.col("g") == F.col("c_a")).alias("alt_r"), yes(F.col("g") == F.col("c_b")).alias("alt_p"),
+        yes(F.col("only_next") == F.col("event_b")).alias("ch_r"), yes(F.col("only_prev") == F.col("event_a")).alias("ch_p"),
+    )
+
+
+def ordered_counts(f: Facts, *rules: str) -> DataFrame:
+    """``(rule, event_a, event_b, n_traces)`` of the rules, all from one pass over the pairs.
+
+    not-succession is all traces minus those with response, without its trace lists.
+    """
+    base = [r for r in rules if r in FLAGS]
+    if "not-succession" in rules and "response" not in base:
+        base.append("response")
+    alternate = any("alt" in FLAGS[r] for r in base)
+    sums = [F.count_if(F.expr(FLAGS[r])).alias(f"_{i}") for i, r in enumerate(base)]
+    wide = pair_table(f, alternate).groupBy("event_a", "event_b").agg(*sums).crossJoin(F.broadcast(f.n))
+    items = [F.struct(F.lit(r).alias("rule"), F.col(f"_{i}").alias("n_traces")) for i, r in enumerate(base) if r in rules]
+    if "not-succession" in rules:
+        items.append(F.struct(F.lit("not-succession").alias("rule"), (F.col("n_all") - F.col(f"_{base.index('response')}")).alias("n_traces")))
+    long = wide.select("event_a", "event_b", F.explode(F.array(*items)).alias("_x"))
+    return long.select("_x.rule", "event_a", "event_b", "_x.n_traces").where("n_traces > 0")

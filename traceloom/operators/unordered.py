@@ -39,10 +39,11 @@ FORMULAS = {
 }
 
 
-def unordered_counts(f: Facts, rule: str) -> DataFrame:
-    """``(rule, event_a, event_b, n_traces)`` by inclusion and exclusion; rows that hold in no trace are left out."""
-    where, n = FORMULAS[rule]
-    return pair_counts(f).where(where).selectExpr(f"'{rule}' as rule", "event_a", "event_b", f"{n} as n_traces").where("n_traces > 0")
+def unordered_counts(f: Facts, *rules: str) -> DataFrame:
+    """``(rule, event_a, event_b, n_traces)`` by inclusion and exclusion, all rules from one matrix; rows that hold in no trace are left out."""
+    items = [f"struct('{r}' as rule, case when {where} then {n} else 0 end as n_traces)" for r, (where, n) in ((r, FORMULAS[r]) for r in rules)]
+    long = pair_counts(f).selectExpr("event_a", "event_b", f"explode(array({', '.join(items)})) as _x")
+    return long.select("_x.rule", "event_a", "event_b", "_x.n_traces").where("n_traces > 0")
 
 
 #: rule -> condition on (a occurs, b occurs, the pair)

@@ -62,7 +62,7 @@ class MiningState:
     @property
     def facts(self) -> Facts:
         st = self.table("trace_types", "trace string, event_type string, c bigint, mn int, mx int, n_next bigint, min_next string, max_next string, n_prev bigint, min_prev string, max_prev string")
-        return Facts(occurrences(self.log), st)
+        return Facts(occurrences(self.log), st, True)
 
     @property
     def metadata(self) -> RunMetadata:

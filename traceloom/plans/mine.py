@@ -12,6 +12,8 @@ from traceloom.operators import existence, ordered, position, unordered
 from traceloom.operators.facts import Facts, build_facts
 
 FAMILIES = {"position": position.RULES, "existence": existence.RULES, "unordered": unordered.RULES, "ordered": ordered.RULES}
+#: From more rules than this the facts are stored once instead of being computed for each.
+SEVERAL = 2
 ALL_RULES = tuple(r for rules in FAMILIES.values() for r in rules)
 
 
@@ -44,14 +46,23 @@ def rule_rows(f: Facts, rule: str) -> DataFrame:
     return unordered.unordered_rows(f, rule) if kind == "unordered" else ordered.ordered_rows(f, rule)
 
 
-def rule_counts(f: Facts, rule: str) -> DataFrame:
-    """``(rule, event_a, event_b, n_traces)``: the supports of one rule, without trace lists."""
-    kind = family(rule)
-    if kind == "position":
-        return rule_rows(f, rule).groupBy("rule", "event_a", "event_b").agg(F.count(F.lit(1)).alias("n_traces"))
-    if kind == "existence":
-        return existence.existence_counts(f, rule).select("rule", "event_a", F.col("instances").cast("string").alias("event_b"), "n_traces")
-    return unordered.unordered_counts(f, rule) if kind == "unordered" else ordered.ordered_counts(f, rule)
+def rule_counts(f: Facts, *rules: str) -> DataFrame:
+    """``(rule, event_a, event_b, n_traces)``: the supports of rules, without trace lists; each family in one pass."""
+    parts = []
+    for kind, names in FAMILIES.items():
+        some = [r for r in rules if r in names]
+        if not some:
+            continue
+        if kind == "position":
+            rows = reduce(DataFrame.unionByName, [rule_rows(f, r) for r in some])
+            parts.append(rows.groupBy("rule", "event_a", "event_b").agg(F.count(F.lit(1)).alias("n_traces")))
+        elif kind == "existence":
+            parts.append(existence.existence_counts(f, *some).select("rule", "event_a", F.col("instances").cast("string").alias("event_b"), "n_traces"))
+        else:
+            parts.append(unordered.unordered_counts(f, *some) if kind == "unordered" else ordered.ordered_counts(f, *some))
+    if unknown := [r for r in rules if r not in ALL_RULES]:
+        raise ValueError(f"unknown rules {unknown}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def with_support(counts: DataFrame, f: Facts, support: float = 0.0) -> DataFrame:
@@ -70,11 +81,10 @@ def mine(log: DataFrame, rules: list[str] | None = None, support: float = 0.0, b
     Without branching: ``(rule, event_a, event_b, n_traces, support)``. With branching: ``(rule, side, fixed, merged, n_traces, support)`` where
     ``merged`` joins the merged activities with commas; of the existence rules only ``exactly`` is branched, always by SOURCE.
     """
-    f = facts or build_facts(log)
     chosen = list(rules or ALL_RULES)
+    f = facts or build_facts(log, keep=len(chosen) > SEVERAL)
     if branching is None or not branching.policy:
-        counts = reduce(DataFrame.unionByName, [rule_counts(f, r) for r in chosen])
-        return with_support(counts, f, support)
+        return with_support(rule_counts(f, *chosen), f, support)
     from traceloom.operators.branching import branch
 
     parts = []

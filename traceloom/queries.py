@@ -94,6 +94,16 @@ def cleaned_query(spark: SparkSession, d: str) -> DataFrame:
     return log.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("trace").alias("n_traces"), F.count("ts").alias("n_timed"))
 
 
+def mine_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """All rules of the raw event log, cleaned, that hold in more than 2 % of its traces."""
+    log = cleaned.cleaned_log(spark.read.parquet(f"{d}/event_seq.parquet"), spark.read.parquet(f"{d}/activity.parquet"))
+    return mine(log, MINED, support=0.02)
+
+
+#: Rules of the raw log; those that hold for nearly every pair of its hundreds of activities say nothing there.
+MINED = ["first", "last", "exactly", "existence", "responded existence", *(r for r in ordered.RULES if r != "not-succession")]
+
+
 def queries() -> dict[str, Query]:
     ud = logs.events_user_day
     out: dict[str, Query] = {}
@@ -120,6 +130,7 @@ def queries() -> dict[str, Query]:
         "incremental_ordered": _incremental(ordered.RULES),
         "text_report": lambda s, d: report_lines(mine(ud(s, d))),
         "cleaned_log": cleaned_query,
+        "mine_cleaned_log": mine_cleaned,
         "p6_found": p6_found,
         "p6_counts": p6_counts,
         "p6_lists": p6_lists,
@@ -151,14 +162,19 @@ def _replaced_rows(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- SQL ----
 
-def _log_sql(table: str, trace: str, activity: str, order: str) -> str:
-    return f"""ev as (select {trace} as t, {activity} as e, row_number() over (partition by {trace} order by {order}) - 1 as p from {table}),
-occ as (select t, e, p, lead(p) over (partition by t, e order by p) as np, lag(p) over (partition by t, e order by p) as pp,
+FACTS = """occ as (select t, e, p, lead(p) over (partition by t, e order by p) as np, lag(p) over (partition by t, e order by p) as pp,
   lead(e) over (partition by t order by p) as ne, lag(e) over (partition by t order by p) as pe from ev),
 st as (select t, e, count(*) as c, min(p) as mn, max(p) as mx, count(ne) as cne, min(ne) as mine, max(ne) as maxe, count(pe) as cpe, min(pe) as minp, max(pe) as maxp from occ group by t, e),
 n as (select count(distinct t) as n from ev), ty as (select e, count(*) as n from st group by e)"""
 
 
+def _log_sql(table: str, trace: str, activity: str, order: str) -> str:
+    return f"ev as (select {trace} as t, {activity} as e, row_number() over (partition by {trace} order by {order}) - 1 as p from {table}), {FACTS}"
+
+
+LOG_OF_CLEANED = "ev as (select trace as t, event_type as e, pos as p from cl)"
+
+
 USER_DAY = _log_sql("events", "user_id::varchar || '-' || ts::date::varchar", "event_type", "ts, event_id")
 USER = _log_sql("events", "user_id::varchar", "event_type", "ts, event_id")
 CUSTOMER = _log_sql("orders", "o_custkey::varchar", "o_orderpriority", "o_orderdate, o_orderkey")
@@ -287,6 +303,7 @@ def oracle_sql() -> dict[str, str]:
         "incremental_ordered": _all_sql(ordered.RULES),
         "text_report": f"select concat_ws('|', rule, event_a, event_b, n_traces::varchar, printf('%.3f', support)) as line from ({_all_sql(every)})",
         "cleaned_log": f"with {CLEANED} select event_type, count(*) as n_events, count(distinct trace) as n_traces, count(ts) as n_timed from cl group by event_type",
+        "mine_cleaned_log": f"with {CLEANED}, {LOG_OF_CLEANED}, {FACTS} select * from ({' union all '.join(_counts_sql(r) for r in MINED)}) where support > 0.02",
         "p6_found": f"with {FIELDS} select field, event_type from (select field, event_type, count(*) as k, sum(count(*)) over (partition by field) as total from fl group by field, event_type) where k >= 0.05 * total",
         "p6_counts": f"with {FIELDS} select field, event_type, count(*) as n_rows, count(distinct trace) as n_traces from fl group by field, event_type",
         "p6_lists": f"with {FIELDS} select field, event_type, count(distinct trace) as n_traces, min(trace) as first_trace, max(trace) as last_trace from fl where trace is not null group by field, event_type",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only after its rows were counted and found not to exceed this.
 BROADCAST_ROWS = 200_000
+_WRITTEN: list[str] = []
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", app: str = "traceloom") -> SparkSession:
@@ -42,6 +45,7 @@ def scratch_dir(spark: SparkSession) -> str:
     own = getattr(scratch_dir, "own", None)
     if own is None or not os.path.isdir(own):
         own = scratch_dir.own = tempfile.mkdtemp(prefix="traceloom-")
+        atexit.register(shutil.rmtree, own, True)
     return own
 
 
@@ -54,9 +58,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/traceloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what ``materialize`` has written so far; results that still read it must have been stored."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows (counted, and never beyond the bound).
 
