@@ -43,9 +43,9 @@ def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     clean = kept.select("id", F.array_sort(F.array_distinct(F.filter("members", lambda x: x.isNotNull()))).alias("members")).where(F.size("members") > 0)
     keyed = clean.withColumn("_key", F.sha2(F.array_join(F.transform("members", lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), ","), 256))
     keyed = materialize(keyed)
-    reps = keyed.groupBy("_key").agg(F.min("id").alias("rep"))
-    first = materialize(keyed.join(reps, "_key").where("id = rep").select("rep", "members", "_key").dropDuplicates(["rep"]))
-    membership = keyed.select("id", "_key").distinct().join(first.select("_key", "rep"), "_key").select("id", "rep")
+    # one row per set before anything is moved, however many copies there are
+    first = materialize(keyed.groupBy("_key").agg(F.min("id").alias("rep"), F.min_by("members", "id").alias("members")))
+    membership = keyed.select("id", "_key").distinct().join(broadcast_if_bounded(first.select("_key", "rep")), "_key").select("id", "rep")
     return first.select("rep", "members"), membership
 
 
