@@ -30,7 +30,7 @@ COVERED, SLACK = 30, 16
 #: Letters without a string after which a diagonal is followed anew.
 BREAK = 64
 #: Words that must run on; the share of them that may be misread, and that may not be recognisable at all.
-MIN_WORDS, MISREAD, LOST = 22, 0.3, 0.1
+MIN_WORDS, MISREAD, LOST = 22, 0.3, 0.06
 #: Misread words at the ends of a stretch cannot be told from words outside it; so many of ``MIN_WORDS`` may be missing.
 EDGE = 2
 #: Letters of matter set between, at most, at one place.
@@ -286,11 +286,11 @@ def follow(doc: str, j: int, text: str, words: list[tuple[int, int]], windows: f
         ahead = text[b : b + 10]
         r = doc.find(ahead, max(j, j + size - most), j + size + most + 10) if len(ahead) >= 8 else -1
         if r >= 0 and r - j <= size + most and (size <= 3 or near(w, doc[j:r], most)):
-            out.append(1)
+            out.append(2 if w.isdigit() and doc[j:r].isdigit() else 1)  # another number is no misread one
             j = r
             lost = 0
             continue
-        jump = _advert(doc, j, text, a, b, windows)
+        jump = _advert(doc, j, text, words, n, windows)
         if jump is not None:
             j, misread = jump
             out.append(misread)
@@ -316,20 +316,31 @@ def follow(doc: str, j: int, text: str, words: list[tuple[int, int]], windows: f
     return out
 
 
-def _advert(doc: str, j: int, text: str, a: int, b: int, windows: frozenset) -> tuple[int, int] | None:
-    """Where the passage goes on after matter set between: before the word (0), or inside it (1: its two parts stand at either end)."""
-    ahead = text[a : a + WINDOW]
-    r = doc.find(ahead, j, j + ADVERT + WINDOW) if len(ahead) == WINDOW else -1
-    misread = 0
-    if r < 0:
-        ahead, w = text[b : b + WINDOW], text[a:b]
-        r = doc.find(ahead, j + len(w) + WINDOW, j + len(w) + ADVERT + WINDOW) if len(ahead) == WINDOW else -1
-        if r < 0 or not any(doc.startswith(w[:x], j) and doc.endswith(w[x:], j, r) for x in range(1, len(w))):
+def _advert(doc: str, j: int, text: str, words: list[tuple[int, int]], n: int, windows: frozenset) -> tuple[int, int] | None:
+    """``(position after the word, 0 or 1)`` if word ``n`` stands behind matter set between, whole (perhaps misread) or cut in two by it.
+
+    It is recognised by the letters that follow it, or, if these are misread too, by those after the next word. None of the passage's own strings may
+    be in the matter.
+    """
+    a, b = words[n]
+    w = text[a:b]
+    for s in (a, b, words[n + 1][1] if n + 1 < len(words) else b):
+        ahead = text[s : s + WINDOW]
+        if len(ahead) < WINDOW:
+            continue
+        r = doc.find(ahead, j + (s - a) + 1, j + (s - a) + ADVERT + WINDOW)
+        if r < 0:
+            continue
+        if any(doc[i : i + WINDOW] in windows for i in range(j, r - (s - a) - WINDOW + 1)):
             return None
-        misread = 1
-    if any(doc[i : i + WINDOW] in windows for i in range(j, r - WINDOW + 1)):
-        return None
-    return r, misread
+        if s == a:
+            return r + len(w), 0
+        end = r - (s - b)  # where the word ends
+        if near(w, doc[max(j, end - len(w)) : end], 1 if len(w) <= 4 else 2):
+            return end, 1
+        if end - j > len(w) + WINDOW and any(doc.startswith(w[:x], j) and doc.endswith(w[x:], j, end) for x in range(1, len(w))):
+            return end, 1
+    return None
 
 
 def longest(states: list[int], misread: float = MISREAD, lost: float = LOST) -> int:
@@ -410,9 +421,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", min_words: int
     got = collect_bounded(items.where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).select("item_id", "passage").distinct(), ITEMS, "test items")
     spark = docs.sparkSession
     pat = spark.sparkContext.broadcast(Patterns([p for r in sorted(got) if (p := passage(r[0], r[1]))], min_words))
-    box = F.col("line_boxes")
-    flat = F.flatten(F.transform(box, lambda x: F.array(x["x0"], x["y0"], x["x1"], x["y1"])))
-    pages = docs.where(F.col(key).isNotNull() & (F.length("text") > 0)).select(F.col(key).alias("key"), "text", F.col("n_columns").cast("int").alias("n_columns"), F.when(F.col("n_columns") > 1, flat).alias("boxes"))
+    pages = docs.where(F.col(key).isNotNull() & (F.length("text") > 0)).select(F.col(key).alias("key"), "text", *page_layout(docs))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +429,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", min_words: int
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = _ordered(b)
+            texts = in_reading_order(b.column(1), b.column(2), b.column(3))
             rows: dict[tuple[int, int], int] = {}
             for at, held in _parts(texts):
                 for i, item, n in page_leaks(held, patterns, min_words):
@@ -433,16 +442,23 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", min_words: int
     return found.groupBy("key", "item_id").agg(F.max("n_words").alias("n_words")).withColumnRenamed("key", key)
 
 
-def _ordered(b: pa.RecordBatch) -> list[str]:
-    texts, columns = b.column(1).to_pylist(), b.column(2).to_pylist()
-    boxes = b.column(3)
+def page_layout(docs: DataFrame) -> list:
+    """``n_columns, boxes`` (four numbers a line, only for pages of several columns) as columns to select; nulls where the table has neither."""
+    if not {"n_columns", "line_boxes"} <= set(docs.columns):
+        return [F.lit(None).cast("int").alias("n_columns"), F.lit(None).cast("array<int>").alias("boxes")]
+    flat = F.flatten(F.transform("line_boxes", lambda x: F.array(x["x0"], x["y0"], x["x1"], x["y1"])))
+    return [F.col("n_columns").cast("int").alias("n_columns"), F.when(F.col("n_columns") > 1, flat).alias("boxes")]
+
+
+def in_reading_order(texts: pa.Array, columns: pa.Array, boxes: pa.Array) -> list[str]:
+    """Arrow columns of texts and ``page_layout`` as texts in reading order; a page with a missing number in its boxes is read as it is."""
     offsets = boxes.offsets.to_numpy()
     values = boxes.values
     sound = values.is_valid().to_numpy(zero_copy_only=False)
     grid = values.fill_null(0).to_numpy(zero_copy_only=False)
     out = []
-    for i, t in enumerate(texts):
+    for i, (t, n) in enumerate(zip(texts.to_pylist(), columns.to_pylist())):
         lo, hi = offsets[i], offsets[i + 1]
         whole = hi > lo and (hi - lo) % 4 == 0 and sound[lo:hi].all()
-        out.append(reading_order(t, columns[i], grid[lo:hi].reshape(-1, 4) if whole else None))
+        out.append(reading_order(t, n, grid[lo:hi].reshape(-1, 4) if whole else None))
     return out

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.llm.leaks import in_reading_order, near, page_layout
 from traceloom.session import broadcast_if_bounded, materialize
 
 #: Spreads (median minus lower quartile) beyond the median of like pages from which a page is a suspect; pages a group needs to be a standard.
@@ -26,6 +27,8 @@ ON_PAGES, RARE = 0.001, 1e-5
 TIMES, EXCESS, REACH = 3, 6.0, 16
 #: Words to either side that decide with a word, and the share of marked ones that makes it belong.
 AROUND, DENSE = 4, 0.4
+#: Shares at which misread keywords are looked for.
+UNCLEAR = (0.1, 0.6)
 #: Words that tell a link or a tag, whatever the page.
 LINK = re.compile(r"://|www\.|https?|href|<a\b|</a>|\]\(|\.html|\.(?:example|test|invalid|com|net|org|info|shop)\b|\?\w+=|^[»›·]$|[\w-]+\.[a-z]{4,8}/", re.I)
 TAG = re.compile(r"^\W?sku\W?\d+|^size-\d+|^#\w", re.I)
@@ -144,11 +147,12 @@ def keywords(counts: DataFrame, chosen: DataFrame, vocab: DataFrame) -> DataFram
 _BROKEN = re.compile(BROKEN)
 
 
-def stuffed_share(text: str | None, kw: set[str]) -> float:
+def stuffed_share(text: str | None, kw: set[str], misread: bool = False) -> float:
     """The share of a page's words that belong to links, tags or keywords repeated at short distance; 0 without words.
 
     Words among numbers (tables of prices or times) are no keywords. A word belongs if enough of the words around it are marked, so that
-    places named between keywords count with them and a single link in an article counts little.
+    places named between keywords count with them and a single link in an article counts little. ``misread``: words that differ from a keyword by
+    a letter, or two in longer ones, count as that keyword.
     """
     if not text:
         return 0.0
@@ -159,11 +163,17 @@ def stuffed_share(text: str | None, kw: set[str]) -> float:
     numbers = [0]
     for x in toks:
         numbers.append(numbers[-1] + bool(NUMBER.match(x)))
+    long = [k for k in kw if len(k) >= 5] if misread else []
     marked, last = bytearray(n), {}
     for j, x in enumerate(toks):
         if LINK.search(x) or TAG.search(x):
             marked[j] = 1
-        elif kw and (w := plain_word(unicodedata.normalize("NFC", x))) in kw and numbers[min(n, j + 6)] - numbers[max(0, j - 5)] < 2:
+        elif kw and numbers[min(n, j + 6)] - numbers[max(0, j - 5)] < 2:
+            w = plain_word(unicodedata.normalize("NFC", x))
+            if w not in kw:
+                w = next((k for k in long if near(w, k, 1 if len(k) < 9 else 2)), None) if long and len(w) >= 4 else None
+                if w is None:
+                    continue
             p = last.get(w)
             if p is not None and j - p <= REACH:
                 marked[j] = marked[p] = 1
@@ -178,27 +188,33 @@ def stuffed_share(text: str | None, kw: set[str]) -> float:
     return inside / n
 
 
+def page_share(text: str | None, kw: set[str]) -> float:
+    """``stuffed_share``; where that is not clear, with misread keywords counted too."""
+    share = stuffed_share(text, kw)
+    return stuffed_share(text, kw, True) if UNCLEAR[0] <= share <= UNCLEAR[1] else share
+
+
 def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", share: float = 0.5) -> DataFrame:
     """``(key, n, slope, residual, divergence, share)``: pages with more than ``share`` of their words stuffed.
 
     Null, empty and blank texts have no words and are never found; rows with a null key are left out; rows that repeat a key and language are one page to the
     counts, and a key is reported once. An unknown language (null) is a language of its own. Other columns are not read. The words of a page are one
-    group; a page is a bounded record.
+    group; a page is a bounded record. Where the table has ``n_columns`` and ``line_boxes``, suspects are read as their columns run.
     """
     counts = materialize(page_counts(docs, key, text, lang))
     vocab = vocabulary(counts)
     curves = page_curves(counts, vocab)
     odd = materialize(suspects(curves))
     marks = materialize(odd.join(keywords(counts, odd, vocab), PAGE, "left"))
-    read = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), _language(lang), F.col(text).alias("text"))
+    read = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), _language(lang), F.col(text).alias("text"), *page_layout(docs))
     texts = read.join(broadcast_if_bounded(marks), PAGE)
     kind = docs.schema[key].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t, k = b.column("text"), b.column("kw")
-            shares = [stuffed_share(t[i].as_py(), set(k[i].as_py() or ())) for i in range(b.num_rows)]
+            k = b.column("kw")
+            shares = [page_share(t, set(k[i].as_py() or ())) for i, t in enumerate(in_reading_order(b.column("text"), b.column("n_columns"), b.column("boxes")))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "n", "slope", "residual", "divergence")), pa.array(shares, pa.float64())], ["key", "n", "slope", "residual", "divergence", "share"])
 
-    rated = texts.select("key", "n", "slope", "residual", "divergence", "text", "kw").mapInArrow(check, f"key {kind}, n bigint, slope double, residual double, divergence double, share double")
+    rated = texts.select("key", "n", "slope", "residual", "divergence", "text", "n_columns", "boxes", "kw").mapInArrow(check, f"key {kind}, n bigint, slope double, residual double, divergence double, share double")
     return rated.where(F.col("share") > share).dropDuplicates(["key"]).withColumnRenamed("key", key)
