@@ -9,6 +9,7 @@ ends one partition and begins the next is counted once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.session import materialize
+
 #: Members per list in ``key_lists``: bounds the size of a row, not of a key.
 LIST_SIZE = 10_000
 
@@ -167,16 +170,22 @@ def key_lists(df: DataFrame, keys: list[str], order: str, size: int = LIST_SIZE,
             yield row(key, no, held)
 
     df_kind = df.schema[order].dataType
-    pieces = _parted(df, keys, order, partitions).mapInArrow(lists, schema)
-    w = Window.partitionBy(*keys).orderBy("part", "part_no")
-    before = F.lag(F.element_at("values", -1)).over(w)
-    cut = F.when(F.element_at("values", 1) == F.col("_before"), F.expr("slice(values, 2, greatest(size(values) - 1, 0))")).otherwise(F.col("values"))
-    return pieces.withColumn("_before", before).select(*keys, "part", "part_no", cut.alias("values")).where(F.size("values") > 0)
+    pieces = materialize(_parted(df, keys, order, partitions).mapInArrow(lists, schema))
+    # only the ends of each key's partitions are compared, never a key's lists
+    ends = pieces.select(*keys, "part", "part_no", F.element_at("values", 1).alias("_f"), F.element_at("values", -1).alias("_l"))
+    ends = ends.groupBy(*keys, "part").agg(F.min_by("_f", "part_no").alias("_f"), F.max_by("_l", "part_no").alias("_l"))
+    again = ends.withColumn("_p", F.lag("_l").over(Window.partitionBy(*keys).orderBy("part"))).where(F.col("_f") == F.col("_p"))
+    marks = again.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("part").alias("_part"))
+    marks = F.broadcast(materialize(marks))  # at most one row per partition: only its first key can go on from the one before
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    on = reduce(lambda x, y: x & y, [*same, F.col("part") == F.col("_part"), F.col("part_no") == 0])
+    cut = F.when(F.col("_part").isNull(), F.col("values")).otherwise(F.expr("slice(values, 2, greatest(size(values) - 1, 0))"))
+    return pieces.join(marks, on, "left").select(*keys, "part", "part_no", cut.alias("values")).where(F.size("values") > 0)
 
 
 def heavy_keys(df: DataFrame, group: list[str], key: str, order: str, share: float, partitions: int | None = None) -> DataFrame:
     """``(group…, key, n_rows, n_values, share)``: keys that hold at least ``share`` of their group's rows with a non-null key."""
-    counts = key_counts(df.where(F.col(key).isNotNull()), [*group, key], order, partitions)
+    counts = materialize(key_counts(df.where(F.col(key).isNotNull()), [*group, key], order, partitions))
     total = counts.groupBy(*group).agg(F.sum("n_rows").alias("_total"))
     return (
         counts.join(F.broadcast(total), group)  # one row per group

@@ -229,31 +229,82 @@ def _all_sql(rules, log: str = USER_DAY, where: str = "true") -> str:
     return f"with {log} select * from ({' union all '.join(_counts_sql(r) for r in rules)}) where {where}"
 
 
-def _pair_branch_sql(policy: str, side: str) -> str:
-    """Best pair per group under AND or XOR; a group of one operand keeps it."""
-    fixed, op = ("a", "b") if side == "TARGET" else ("b", "a")
-    size = "count(*) filter (where two)" if policy == "AND" else "count(*) filter (where not two)"
-    return f"""with {USER_DAY}, r as (select {fixed} as f, {op} as o, t from ({RESPONSE})), ops as (select distinct f, o from r),
-pairs as (select x.f, x.o as o1, y.o as o2 from ops x join ops y on x.f = y.f and x.o < y.o),
-cov as (select p.f, o1, o2, r.t, count(*) = 2 as two from pairs p join r on r.f = p.f and r.o in (o1, o2) group by p.f, o1, o2, r.t),
-ranked as (select f, o1 || ',' || o2 as merged, k, row_number() over (partition by f order by k desc, o1, o2) as rk from (select f, o1, o2, {size} as k from cov group by f, o1, o2)),
-one as (select f, min(o) as merged, count(*) as k from r group by f having count(distinct o) = 1)
-select 'response' as rule, '{side}' as side, f as fixed, merged, k::bigint as n_traces, k / (select n from n)::double as support
-from (select f, merged, k from ranked where rk = 1 union all select f, merged, k from one) where k > 0"""
-
-
-def _or_branch_sql(side: str) -> str:
-    """Weakest operand dropped until two are left; five activities need three rounds."""
-    fixed, op = ("a", "b") if side == "TARGET" else ("b", "a")
+EXACT = "select e as a, c::varchar as b, t from st"
+
+
+def _branch_rows(side: str, rule: str) -> str:
+    """``(f, o, t)``: group, operand, trace. Position rules merge their activities in one group of no name."""
+    rows = EXACT if rule == "exactly" else ROWS[rule]
+    f, o = ("a", "b") if side == "TARGET" else ("b", "a")
+    if rule in ("first", "last"):
+        f, o = "''", "a"
+    return f"r as (select distinct {f} as f, {o} as o, t from ({rows}))"
+
+
+def _branch_out(side: str, rule: str, table: str, where: str = "true") -> str:
+    return f"""select '{rule}' as rule, '{side}' as side, nullif(f, '') as fixed, array_to_string(list_sort(m), ',') as merged, k::bigint as n_traces, k / (select n from n)::double as support
+from {table} where k > 0 and {where}"""
+
+
+def _set_branch_sql(policy: str, side: str, bound: int = 2, rule: str = "response", rare: bool = False, rounds: int = 4) -> str:
+    """Best pair per group under AND or XOR, then the best extension each round; a group of one operand keeps it. bound 0: unbounded."""
+    holds = (lambda n: f"count(*) = {n}") if policy == "AND" else (lambda n: "count(*) % 2 = 1")
+    start = "ops as (select distinct f, o from r), start as (select * from ops)"
+    if rare:
+        start = """ops as (select distinct f, o from r), hits as (select f, t, count(*) as h from r group by f, t), top as (select f, max(h) as h from hits group by f),
+start as (select distinct r.f, r.o from r join hits using (f, t) join top on top.f = r.f and top.h = hits.h)"""
+    sql = f"""with {USER_DAY}, {_branch_rows(side, rule)}, {start},
+pair as (select x.f, [x.o, y.o] as m from start x join start y on x.f = y.f and x.o < y.o),
+held as (select p.f, p.m, r.t from pair p join r on r.f = p.f and list_contains(p.m, r.o) group by p.f, p.m, r.t having {holds(2)}),
+size2 as (select pair.f, pair.m, count(held.t) as k from pair left join held on held.f = pair.f and held.m = pair.m group by pair.f, pair.m),
+best as (select f, m, k from (select *, row_number() over (partition by f order by k desc, m) as rk from size2) where rk = 1),
+alone as (select r.f, [min(r.o)] as m, count(*) as k from r join start using (f, o) group by r.f having count(distinct r.o) = 1),
+single as (select f, [o] as m, k from (select f, o, count(*) as k, row_number() over (partition by f order by count(*) desc, o) as rk from r join start using (f, o) group by f, o) where rk = 1),
+s2 as (select * from best {"where k > 0 union all select single.* from single join best using (f) where best.k = 0" if bound == 0 else ""})"""
+    last = max(2, bound) if bound else rounds + 1
+    for i in range(2, last):
+        more = "c.k > 1" if bound else f"c.k > 1 and c.k = s.k and s.k > {1 if policy == 'AND' else 0}"
+        sql += f""", c{i} as (select f, m, o, count(*) as k from (select s.f, s.m, p.o, r.t from s{i} s join ops p on p.f = s.f and not list_contains(s.m, p.o) join r on r.f = s.f and (list_contains(s.m, r.o) or r.o = p.o)
+  where len(s.m) = {i} and s.k > 0 group by s.f, s.m, p.o, r.t having {holds(i + 1)}) group by f, m, o),
+s{i + 1} as (select s.f, case when c.k is null then s.m else list_append(c.m, c.o) end as m, coalesce(c.k, s.k) as k from s{i} s left join
+  (select c.* from (select *, row_number() over (partition by f order by k desc, o) as rk from c{i}) c join s{i} s using (f) where rk = 1 and {more}) c on c.f = s.f)"""
+    return f"{sql}, fin as (select * from s{last} union all select * from alone) {_branch_out(side, rule, 'fin')}"
+
+
+def _or_branch_sql(side: str, bound: int = 2, rule: str = "response", where: str = "true") -> str:
+    """Weakest operand dropped until ``bound`` are left; five activities need no more than three rounds."""
     rounds = ""
-    for i in range(3):
+    for i in range(5 - bound):
         rounds += f"""own{i} as (select o{i}.f, o{i}.o, count(s.t) as k from (select distinct f, o from r{i}) o{i} left join (select f, t, min(o) as o from r{i} group by f, t having count(*) = 1) s on s.f = o{i}.f and s.o = o{i}.o group by o{i}.f, o{i}.o),
-drop{i} as (select f, o from (select *, row_number() over (partition by f order by k, o) as rk, count(*) over (partition by f) as m from own{i}) where rk = 1 and m > 2),
+drop{i} as (select f, o from (select *, row_number() over (partition by f order by k, o) as rk, count(*) over (partition by f) as m from own{i}) where rk = 1 and m > {bound}),
 r{i + 1} as (select r{i}.* from r{i} anti join drop{i} using (f, o)),
 """
-    return f"""with {USER_DAY}, r0 as (select {fixed} as f, {op} as o, t from ({RESPONSE})),
-{rounds}fin as (select f, (select string_agg(o, ',' order by o) from (select distinct o from r3 q where q.f = r3.f)) as merged, count(distinct t) as k from r3 group by f)
-select 'response' as rule, '{side}' as side, f as fixed, merged, k::bigint as n_traces, k / (select n from n)::double as support from fin"""
+    return f"""with {USER_DAY}, {_branch_rows(side, rule)}, r0 as (select * from r),
+{rounds}fin as (select f, list(distinct o) as m, count(distinct t) as k from r{5 - bound} group by f) {_branch_out(side, rule, "fin", where)}"""
+
+
+def _or_unbounded_sql(side: str = "TARGET", rule: str = "response", factor: float = 1.5) -> str:
+    """Up to five operands: the first three losses cannot stand out, so two operands are left, or three if the fourth loss does."""
+    sql = f"with {USER_DAY}, {_branch_rows(side, rule)}, r0 as (select * from r)"
+    for i in range(4):
+        sql += f""", own{i} as (select o{i}.f, o{i}.o, count(s.t) as k from (select distinct f, o from r{i}) o{i} left join (select f, t, min(o) as o from r{i} group by f, t having count(*) = 1) s on s.f = o{i}.f and s.o = o{i}.o group by o{i}.f, o{i}.o),
+drop{i} as (select f, o, k from (select *, row_number() over (partition by f order by k, o) as rk, count(*) over (partition by f) as m from own{i}) where rk = 1 and m > 1),
+r{i + 1} as (select r{i}.* from r{i} anti join (select f, o from own{i} where false union all select f, o from drop{i} where (select count(*) from own{i} x where x.f = drop{i}.f) > 2) d using (f, o))"""
+    losses = " union all ".join(f"select f, {i} as i, k from drop{i} where (select count(*) from own{i} x where x.f = drop{i}.f) = {5 - i}" for i in range(4))
+    return f"""{sql}, loss as ({losses}), stat as (select f, count(*) as c, avg(k) as mean, stddev_pop(k) as sd, arg_max(k, i) as last from loss group by f),
+early as (select f from stat where c = 4 and abs(last - mean) > {factor} * sd + 1e-9),
+fin as (select f, list(distinct o) as m, count(distinct t) as k from r2 where f in (select f from early) group by f
+  union all select f, list(distinct o) as m, count(distinct t) as k from r3 where f not in (select f from early) group by f) {_branch_out(side, rule, "fin")}"""
+
+
+def _chain_branch_sql(policy: str, rule: str = "chain-response", base: str = "response") -> str:
+    """Two operands: one of the chain rule and one that the base rule leads to from it."""
+    return f"""with {USER_DAY}, r as (select a as f, b as o, t from ({ROWS[rule]})), l as ({ROWS[base]}),
+one as (select f, [min(o)] as m, count(*) as k from r group by f having count(distinct o) = 1),
+x as (select f, o, count(*) as n from r where f not in (select f from one) group by f, o), y as (select a, b, count(*) as n from l group by a, b),
+z as (select r.f, r.o, l.b, count(*) as n from r join l on l.a = r.o and l.t = r.t group by 1, 2, 3),
+c as (select x.f, case when x.o = y.b then [x.o] else [x.o, y.b] end as m, {"coalesce(z.n, 0)" if policy == "AND" else "x.n + y.n - 2 * coalesce(z.n, 0)"} as k from x join y on y.a = x.o left join z on z.f = x.f and z.o = x.o and z.b = y.b),
+fin as (select f, m, k from (select *, row_number() over (partition by f order by k desc, m) as rk from c where k > 0) where rk = 1 union all select * from one) {_branch_out("TARGET", rule, "fin")}"""
 
 
 #: Each written name of the activity columns with its catalogue spelling; ``written`` has to be a relation of one column w.
@@ -310,6 +361,20 @@ def oracle_sql() -> dict[str, str]:
     }
     for side in ("TARGET", "SOURCE"):
         out[f"or_{side.lower()}_b2"] = _or_branch_sql(side)
-        out[f"and_{side.lower()}_b2"] = _pair_branch_sql("AND", side)
-        out[f"xor_{side.lower()}_b2"] = _pair_branch_sql("XOR", side)
+        out[f"and_{side.lower()}_b2"] = _set_branch_sql("AND", side)
+        out[f"xor_{side.lower()}_b2"] = _set_branch_sql("XOR", side)
+    out |= {
+        "or_target_b3": _or_branch_sql("TARGET", 3),
+        "exact_bound_or_b3": _or_branch_sql("TARGET", 3, where="len(m) = 3"),
+        "first_or_b2": _or_branch_sql("TARGET", 2, "first"),
+        "exactly_source_or_b2": _or_branch_sql("SOURCE", 2, "exactly"),
+        "or_unbounded": _or_unbounded_sql(),
+        "and_target_b3": _set_branch_sql("AND", "TARGET", 3),
+        "xor_target_b3": _set_branch_sql("XOR", "TARGET", 3),
+        "and_unbounded": _set_branch_sql("AND", "TARGET", 0),
+        "xor_unbounded": _set_branch_sql("XOR", "TARGET", 0),
+        "rare_filter_and_b2": _set_branch_sql("AND", "TARGET", 2, rare=True),
+        "chain_and_b2": _chain_branch_sql("AND"),
+        "chain_xor_b2": _chain_branch_sql("XOR"),
+    }
     return out
