@@ -19,17 +19,20 @@ p as (select x.item as item_a, y.item as item_b, count(*) as n_ab from b x join
 s as (select item_a, item_b, n_ab, u.n as n_a, v.n as n_b, n.n as n_all from p join c u on u.item = item_a join c v on v.item = item_b cross join n)"""
 
 
-def _patterns() -> str:
-    """Frequent patterns of different activities, one level after the other."""
+def _patterns(last: int = 5, distinct: bool = True) -> str:
+    """Frequent patterns of up to ``last`` activities, different ones or any, one level after the other."""
     out = f"""{CLEANED}, n as (select count(distinct trace) as n from cl), fi as (select event_type as e from cl group by 1 having count(distinct trace) >= 0.05 * (select n from n)),
 f as (select trace, pos, e from cl join fi on e = event_type), l1 as (select trace, [e] as p, min(pos) as at from f group by trace, e)"""
-    for k in range(2, 6):
-        out += f""", x{k} as (select l.trace, list_append(l.p, f.e) as p, min(f.pos) as at from l{k - 1} l join f on f.trace = l.trace and f.pos > l.at and not list_contains(l.p, f.e) group by 1, 2),
+    for k in range(2, last + 1):
+        out += f""", x{k} as (select l.trace, list_append(l.p, f.e) as p, min(f.pos) as at from l{k - 1} l join f on f.trace = l.trace and f.pos > l.at {"and not list_contains(l.p, f.e)" if distinct else ""} group by 1, 2),
 q{k} as (select p from x{k} group by p having count(*) >= 0.05 * (select n from n)), l{k} as (select x{k}.* from x{k} semi join q{k} using (p))"""
     return out
 
 
+ALL = " union all ".join(["select p, count(*) as n from l1 group by p", *(f"select p, count(*) as n from l{k} group by p" for k in range(2, 8))])
+CLOSED = f"""{_patterns(7, False)}, fp as ({ALL}), less as (select distinct list_concat(p[1:i - 1], p[i + 1:]) as p, n from (select p, n, unnest(range(1, len(p) + 1)) as i from fp))"""
 SQL = {
+    "p2_closed": f"with {CLOSED} select array_to_string(fp.p, ' > ') as pattern, fp.n as n_traces, less.p is null as closed from fp left join less on less.p = fp.p and less.n = fp.n",
     "p1_found": f"with {SIMILAR} select a as constraint_id_a, b as constraint_id_b from sim",
     "p1_classes": f"""with {SIMILAR}, g as (select id, string_agg(t, '|' order by t) as m from mem group by id), k as (select id, min(id) over (partition by m) as rep from g),
 links as (select distinct u.rep as x, v.rep as y from (select a, b from sim union all select b, a from sim) s join k u on u.id = s.a join k v on v.id = s.b where u.rep <> v.rep),
