@@ -28,3 +28,10 @@ def report_name(log: str, support: float, bound: int, policy: str | None) -> str
 def write_report(lines: DataFrame, path: str) -> None:
     """Sorted text under ``path``; the sort is a range partition, the files are in order."""
     lines.orderBy("line").write.mode("overwrite").text(path)
+
+
+def differences(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(side, line)``: lines of one report that the other lacks, repeated ones as often as they lack."""
+    one = first.select("line").exceptAll(second.select("line")).select(F.lit("first").alias("side"), "line")
+    two = second.select("line").exceptAll(first.select("line")).select(F.lit("second").alias("side"), "line")
+    return one.unionByName(two)

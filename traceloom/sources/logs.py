@@ -80,6 +80,13 @@ def read_with_timestamp(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.trim("e") != "").select("trace", part[0].alias("event_type"), F.get(part, F.lit(1)).try_cast("timestamp_ntz").alias("ts"), F.col("pos").cast("int").alias("pos"))
 
 
+def write_with_timestamp(log: DataFrame, path: str) -> None:
+    """A log as ``read_with_timestamp`` reads it. A trace is a line, so this is for logs of ordinary traces."""
+    event = F.concat(F.col("event_type"), F.lit("/delab/"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    lines = log.groupBy("trace").agg(F.sort_array(F.collect_list(F.struct("pos", event.alias("e")))).alias("s"))
+    lines.select(F.concat(F.col("trace"), F.lit("::"), F.array_join(F.col("s.e"), ",")).alias("value")).write.mode("overwrite").text(path)
+
+
 @dataclass
 class RunMetadata:
     """What is remembered of a log between runs."""
