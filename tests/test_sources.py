@@ -59,3 +59,17 @@ def test_cleaning(spark):
         assert got == [("t", 0, "Verify Quarry", None), ("t", 3, "Notify Quarry", t(2024, 1, 1, 0, 0, 1))]
     assert cleaned_log(ev.limit(0), cat).count() == 0
     assert ev.select(event_time(ev.ts).alias("x")).where("x is not null").count() == 3
+
+
+def test_numbering_in_chunks(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice("xyz"), rnd.choice(["a", "b", None]), t) for t in range(300)] + [(None, "a", 1), ("x", "a", None)]
+    df = spark.createDataFrame(rows, "k string, e string, t int")
+    plain = logs.event_log(df, F.col("k"), F.col("e"), ["t"])
+    chunked = logs.event_log(df, F.col("k"), F.col("e"), ["t"], chunk=F.floor(F.col("t") / 7))
+    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, chunked.collect()), key=str)
+    assert chunked.groupBy("trace").agg(F.max("pos") + 1, F.count("pos"), F.countDistinct("pos")).where("(max(pos) + 1) <> count(pos)").count() == 0

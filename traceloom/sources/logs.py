@@ -15,15 +15,29 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def event_log(df: DataFrame, trace: Column, activity: Column, order_by: list, ts: Column | None = None) -> DataFrame:
+def event_log(df: DataFrame, trace: Column, activity: Column, order_by: list, ts: Column | None = None, chunk: Column | None = None) -> DataFrame:
     """A table as an event log: ``(trace, event_type, ts, pos)``; ``pos`` counts from 0 within a trace in the order given.
 
-    The order must be total within a trace. Rows without trace or activity are left out.
+    The order must be total within a trace. Rows without trace or activity are left out. ``chunk``: a coarse value that never falls along the order
+    (the day of a time, say); rows are then numbered inside (trace, chunk), and the sizes of earlier chunks are added, so that a
+    trace with most of the rows is numbered by many tasks.
     """
-    rows = df.select(trace.cast("string").alias("trace"), activity.cast("string").alias("event_type"), (ts if ts is not None else F.lit(None)).cast("timestamp_ntz").alias("ts"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)])
-    w = Window.partitionBy("trace").orderBy(*[f"_o{i}" for i in range(len(order_by))])
+    order = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order_by)]
+    time = (ts if ts is not None else F.lit(None)).cast("timestamp_ntz").alias("ts")
+    rows = df.select(trace.cast("string").alias("trace"), activity.cast("string").alias("event_type"), time, (F.lit(0) if chunk is None else chunk).alias("_chunk"), *order)
     kept = rows.where(F.col("trace").isNotNull() & F.col("event_type").isNotNull())
-    return kept.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).select("trace", "event_type", "ts", "pos")
+    along = [f"_o{i}" for i in range(len(order_by))]
+    if chunk is None:
+        w = Window.partitionBy("trace").orderBy(*along)
+        return kept.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).select("trace", "event_type", "ts", "pos")
+    parts = ["trace", "_chunk"]
+    kept = kept.repartition(*parts)
+    w = Window.partitionBy(*parts).orderBy(*along)
+    before = Window.partitionBy("trace").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = kept.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ahead = sizes.select(F.col("trace").alias("_t"), F.col("_chunk").alias("_c"), "_before")
+    numbered = kept.withColumn("_rn", F.row_number().over(w)).join(ahead, (F.col("trace") == F.col("_t")) & F.col("_chunk").eqNullSafe(F.col("_c")))
+    return numbered.select("trace", "event_type", "ts", (F.col("_before") + F.col("_rn") - 1).cast("int").alias("pos"))
 
 
 def read_sequence(spark: SparkSession, path: str) -> DataFrame:
@@ -130,9 +144,9 @@ def events_user_day(spark: SparkSession, d: str) -> DataFrame:
 
 def events_user(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "user_id", "event_type")
-    return event_log(e, F.col("user_id"), F.col("event_type"), ["ts", "event_id"], F.col("ts"))
+    return event_log(e, F.col("user_id"), F.col("event_type"), ["ts", "event_id"], F.col("ts"), chunk=F.col("ts").cast("date"))
 
 
 def orders_customer(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    return event_log(o, F.col("o_custkey"), F.col("o_orderpriority"), ["o_orderdate", "o_orderkey"], F.col("o_orderdate"))
+    return event_log(o, F.col("o_custkey"), F.col("o_orderpriority"), ["o_orderdate", "o_orderkey"], F.col("o_orderdate"), chunk=F.year("o_orderdate"))
