@@ -32,6 +32,16 @@ def test_miner_against_definitions():
         assert Miner(seqs, 1).counts(names) == [want[p] for p in names]
 
 
+def test_many_items_need_no_pair_table(monkeypatch):
+    import traceloom.llm.patterns as m
+
+    rnd = random.Random(6)
+    seqs = [[rnd.randrange(5) for _ in range(8)] for _ in range(20)]
+    plain = Miner(seqs, 5).run()
+    monkeypatch.setattr(m, "PAIRED", 2)
+    assert Miner(seqs, 5).run() == plain
+
+
 def _frame(spark, seqs):
     rows = [(f"t{i}", "abcd"[x], p * 2, "extra") for i, s in enumerate(seqs) for p, x in enumerate(s)]
     return spark.createDataFrame([*rows, (None, "a", 0, ""), ("t0", None, 99, ""), ("t0", "a", None, "")], "trace string, event_type string, pos int, id string")

@@ -28,6 +28,8 @@ SHARD = 20_000
 LONG, FEW = 32_768, 0.05
 #: Most frequent items, and most candidate patterns, that the driver holds.
 ITEMS, CANDIDATES = 100_000, 1_000_000
+#: Items up to which a worker counts their pairs in a table; with more the search just tries each item.
+PAIRED = 4_000
 
 
 class Miner:
@@ -48,11 +50,12 @@ class Miner:
 
     def run(self) -> dict[tuple, int]:
         first = sorted(x for x, at in self.places.items() if len(at) >= self.least)
-        self._follows = self._pairs(first)
+        every = set(first)
+        self._follows = self._pairs(first) if len(first) <= PAIRED else dict.fromkeys(first, every)
         for x in first:
             at = [(i, p[0] + 1) for i, p in self.places[x].items()]
             if not self._insertable((x,), at, False):
-                self._grow((x,), at, set(first))
+                self._grow((x,), at, every)
         return self.closed
 
     def _pairs(self, items: list[int]) -> dict[int, set[int]]:
