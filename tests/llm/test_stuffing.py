@@ -74,3 +74,21 @@ def test_small_groups_are_all_suspects(spark):
     df = spark.createDataFrame([(1, "a b c", "en")], "doc_id bigint, text string, lang string")
     c = page_counts(df)
     assert suspects(page_curves(c, vocabulary(c))).count() == 1
+
+
+def test_many_copies_are_not_their_own_standard(spark):
+    pages, spam, _ = _pages()
+    copies = [(3000 + i, spam[0][1], "en") for i in range(120)]
+    df = spark.createDataFrame([*pages, *copies], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == [i for i, _, _ in copies]
+
+
+def test_many_pages_of_one_keyword_list(spark):
+    rnd = random.Random(5)
+    common = ["the"] * 16 + ["and", "was"] * 8 + ["of"] * 6
+    rare = [n + end for n in NOUNS for end in ("", "ing", "ed", "er")]
+    pages = [(i, " ".join(rnd.choice(common) if rnd.random() < 0.25 else rnd.choice(rare) for _ in range(rnd.randint(80, 250))), "en") for i in range(200)]
+    goods = ["copper pans,", "wax candles!", "iron stoves", "felt hats", "tin kettles;"]
+    shared = [(3000 + i, " ".join(rnd.choice(goods) for _ in range(rnd.randint(70, 110))), "en") for i in range(250)]
+    df = spark.createDataFrame([*pages, *shared], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == [i for i, _, _ in shared]

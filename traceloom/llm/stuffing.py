@@ -2,8 +2,10 @@
 
 For each page the words are counted and ranked by frequency; SQL windows and aggregations fit the line log frequency over log rank (equal
 frequencies at their mean rank) and give its slope and residual, and the divergence of the page's words from its language's. A page
-whose slope, residual or divergence is extreme among pages of its language and length is a suspect. Suspects alone are then read word by word:
-the share of words that are links, tags, or keywords repeated at short distance decides.
+whose slope, residual or divergence is extreme among pages of its language and length is a suspect, and so is one that repeats itself or names links
+much by itself, whatever the others do. Copies of a page count once and pages suspect by themselves not at all in what is usual, so that stuffed pages,
+however many, are not measured against each other. Suspects alone are then read word by word: the share of words that are links, tags, or keywords
+repeated at short distance decides.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from traceloom.session import broadcast_if_bounded, materialize
 
 #: Spreads (median minus lower quartile) beyond the median of like pages from which a page is a suspect; pages a group needs to be a standard.
 SPREADS, GROUP = 3.0, 30
+#: Chance that two words of a page are the same (of three letters or more), and share of its words in links, from which it is a suspect by itself.
+REPEATS, LINKS = 0.02, 0.1
 #: Share of a language's pages a word must be on to be in its vocabulary, and the frequency of all other words.
 ON_PAGES, RARE = 0.001, 1e-5
 #: A keyword: at least so often on the page, so many times its frequency in the language, within so many words of itself.
@@ -66,18 +70,50 @@ PAGE = ["key", "lang"]
 def page_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``(key, lang, word, f)``: how often each word is on each page, a page being a key and its language. One shuffle lays pages out by key; their words need no other."""
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    pages = rows.select(F.col(key).alias("key"), _language(lang), F.col(text).alias("text")).repartition("key")
-    listed = pages.select("key", "lang", F.explode(words(F.col("text"))).alias("word"))
+    return _counted(rows.select(F.col(key).alias("key"), _language(lang), F.col(text).alias("text")))
+
+
+def _counted(pages: DataFrame) -> DataFrame:
+    listed = pages.repartition("key").select("key", "lang", F.explode(words(F.col("text"))).alias("word"))
     return listed.groupBy(*PAGE, "word").agg(F.count(F.lit(1)).cast("int").alias("f"))
 
 
-def vocabulary(counts: DataFrame, on_pages: float = ON_PAGES) -> DataFrame:
+def _identity(lang: Column, text: Column) -> Column:
+    """The number of a text in its language: one for all its copies."""
+    return F.xxhash64(lang, text)
+
+
+def folded_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``page_counts`` of the different texts of each language; their key is ``_identity``. Copies are folded before texts move, so many are no task of their own."""
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    texts = rows.select(_language(lang), F.col(text).alias("text")).distinct()
+    return _counted(texts.select(_identity(F.col("lang"), F.col("text")).alias("key"), "lang", "text"))
+
+
+def page_sizes(counts: DataFrame) -> DataFrame:
+    """``(key, lang, n, alone)``: the words of each page, and whether the page is suspect by itself: it repeats its own words, or links fill it."""
+    f, word = F.col("f").cast("bigint"), F.col("word")
+    again = F.sum(F.when(F.length(word) >= 3, f * (f - 1)).otherwise(0))
+    links = F.sum(F.when(word.contains("http") | word.contains("www") | word.contains("href"), f).otherwise(0))
+    n = F.sum(f)
+    alone = (again >= F.lit(REPEATS) * n * (n - 1)) & (again > 0) | (links >= F.lit(LINKS) * n)
+    return counts.groupBy(*PAGE).agg(n.alias("n"), alone.alias("alone"))
+
+
+def vocabulary(counts: DataFrame, on_pages: float = ON_PAGES, pages: DataFrame | None = None) -> DataFrame:
     """``(lang, word, q)``: frequencies of the words on at least ``on_pages`` of a language's pages; lang ``*`` is all languages.
 
-    Its size is bounded by the words on an average page divided by ``on_pages``, for each language.
+    ``pages``: ``page_sizes``; with them, pages suspect by themselves are left out, but not in a language with fewer than ``GROUP`` others. The size of the result is bounded by the words on an average page divided by ``on_pages``, for each language.
     """
+    if pages is None:
+        pages = counts.groupBy(*PAGE).agg(F.sum("f").alias("n"))
+    else:
+        enough = pages.groupBy("lang").agg(F.sum((~F.col("alone")).cast("int")).alias("_others")).where(F.col("_others") >= GROUP).select("lang")
+        out = materialize(pages.where("alone").join(F.broadcast(enough), "lang", "left_semi").select(*PAGE))
+        hint = broadcast_if_bounded(out)
+        counts, pages = counts.join(hint, PAGE, "left_anti"), pages.join(hint, PAGE, "left_anti")
     per = materialize(counts.groupBy("lang", "word").agg(F.sum("f").alias("f"), F.count(F.lit(1)).alias("pages")).where("pages > 1"))
-    sizes = counts.groupBy(*PAGE).agg(F.sum("f").alias("n")).groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("all_pages"))
+    sizes = pages.groupBy("lang").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("all_pages"))
     sizes = materialize(sizes)
     each = per.join(F.broadcast(sizes), "lang")  # one row per language
     every = per.groupBy("word").agg(F.sum("f").alias("f"), F.sum("pages").alias("pages")).crossJoin(F.broadcast(sizes.agg(F.sum("total").alias("total"), F.sum("all_pages").alias("all_pages"))))
@@ -110,15 +146,21 @@ def page_curves(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return sums.select(*PAGE, "n", "types", apart.alias("divergence")).join(fitted, PAGE)
 
 
-def suspects(curves: DataFrame, spreads: float = SPREADS, group: int = GROUP) -> DataFrame:
+def suspects(curves: DataFrame, spreads: float = SPREADS, group: int = GROUP, pages: DataFrame | None = None) -> DataFrame:
     """The rows of ``curves`` that are extreme among the pages of their language and of a length within a power of two.
 
-    Groups of fewer than ``group`` pages set no standard: all their pages are suspects.
+    Groups of fewer than ``group`` pages set no standard: all their pages are suspects. With ``pages`` (``page_sizes``), those suspect by themselves are
+    suspects too and no part of the standard.
     """
     sized = curves.withColumn("_size", F.floor(F.log2("n")).cast("int"))
+    if pages is None:
+        sized = sized.withColumn("_alone", F.lit(False))
+    else:
+        marked = pages.where("alone").select(*PAGE, F.lit(True).alias("_alone"))
+        sized = sized.join(broadcast_if_bounded(marked), PAGE, "left").withColumn("_alone", F.coalesce("_alone", F.lit(False)))
     q = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000)
-    usual = sized.groupBy("lang", "_size").agg(F.count(F.lit(1)).alias("_pages"), q("divergence").alias("_d"), q("slope").alias("_s"), q("residual").alias("_e"))
-    both = sized.join(F.broadcast(usual), ["lang", "_size"])  # a row per language and power of two
+    usual = sized.where(~F.col("_alone")).groupBy("lang", "_size").agg(F.count(F.lit(1)).alias("_pages"), q("divergence").alias("_d"), q("slope").alias("_s"), q("residual").alias("_e"))
+    both = sized.join(F.broadcast(usual), ["lang", "_size"], "left")  # a row per language and power of two
 
     def over(value: str, limits: str) -> Column:
         v, at = F.col(value), F.col(limits)
@@ -130,7 +172,7 @@ def suspects(curves: DataFrame, spreads: float = SPREADS, group: int = GROUP) ->
 
     steep = under("slope", "_s") & (F.col("divergence") > F.col("_d")[2])
     rough = (F.col("residual") > F.col("_e")[1] + 4 * spreads * F.greatest(F.col("_e")[1] - F.col("_e")[0], F.lit(0.01))) & (F.col("divergence") > F.col("_d")[2])
-    return both.where((F.col("_pages") < group) | over("divergence", "_d") | steep | rough).select(*curves.columns)
+    return both.where(F.col("_alone") | F.col("_pages").isNull() | (F.col("_pages") < group) | over("divergence", "_d") | steep | rough).select(*curves.columns)
 
 
 def keywords(counts: DataFrame, chosen: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -197,17 +239,19 @@ def page_share(text: str | None, kw: set[str]) -> float:
 def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", share: float = 0.5) -> DataFrame:
     """``(key, n, slope, residual, divergence, share)``: pages with more than ``share`` of their words stuffed.
 
-    Null, empty and blank texts have no words and are never found; rows with a null key are left out; rows that repeat a key and language are one page to the
-    counts, and a key is reported once. An unknown language (null) is a language of its own. Other columns are not read. The words of a page are one
+    Null, empty and blank texts have no words and are never found; rows with a null key are left out; equal texts of a language are one page to
+    the counts, whatever their keys; every row has its own verdict, and a key is reported once. An unknown language (null) is a language of its own. Other columns are not read. The words of a page are one
     group; a page is a bounded record. Where the table has ``n_columns`` and ``line_boxes``, suspects are read as their columns run.
     """
-    counts = materialize(page_counts(docs, key, text, lang))
-    vocab = vocabulary(counts)
-    curves = page_curves(counts, vocab)
-    odd = materialize(suspects(curves))
+    counts = materialize(folded_counts(docs, key, text, lang))
+    pages = materialize(page_sizes(counts))
+    vocab = vocabulary(counts, pages=pages)
+    curves = materialize(page_curves(counts, vocab))
+    odd = materialize(suspects(curves, pages=pages))
     marks = materialize(odd.join(keywords(counts, odd, vocab), PAGE, "left"))
     read = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), _language(lang), F.col(text).alias("text"), *page_layout(docs))
-    texts = read.join(broadcast_if_bounded(marks), PAGE)
+    identified = read.withColumn("_id", _identity(F.col("lang"), F.col("text")))
+    texts = identified.join(broadcast_if_bounded(marks.withColumnRenamed("key", "_id")), ["_id", "lang"])
     kind = docs.schema[key].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
