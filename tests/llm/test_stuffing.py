@@ -83,12 +83,41 @@ def test_many_copies_are_not_their_own_standard(spark):
     assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == [i for i, _, _ in copies]
 
 
-def test_many_pages_of_one_keyword_list(spark):
-    rnd = random.Random(5)
+def _varied(rnd):
     common = ["the"] * 16 + ["and", "was"] * 8 + ["of"] * 6
     rare = [n + end for n in NOUNS for end in ("", "ing", "ed", "er")]
-    pages = [(i, " ".join(rnd.choice(common) if rnd.random() < 0.25 else rnd.choice(rare) for _ in range(rnd.randint(80, 250))), "en") for i in range(200)]
+    return [(i, " ".join(rnd.choice(common) if rnd.random() < 0.25 else rnd.choice(rare) for _ in range(rnd.randint(80, 250))), "en") for i in range(200)]
+
+
+def test_many_pages_of_one_keyword_list(spark):
+    rnd = random.Random(5)
+    pages = _varied(rnd)
     goods = ["copper pans,", "wax candles!", "iron stoves", "felt hats", "tin kettles;"]
     shared = [(3000 + i, " ".join(rnd.choice(goods) for _ in range(rnd.randint(70, 110))), "en") for i in range(250)]
     df = spark.createDataFrame([*pages, *shared], "doc_id bigint, text string, lang string")
     assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == [i for i, _, _ in shared]
+
+
+def test_endings_and_tags_the_code_does_not_name(spark):
+    pages, _, fine = _pages()
+    rnd = random.Random(8)
+    spam = [
+        " ".join(f"gartenshop{k}.de" for k in range(80)),
+        " ".join(f"tools{k}.biz Katalog{k}" for k in range(80)),
+        " ".join(f"tag: kessel{k}; art-nr N{k}99;" for k in range(60)),
+        " ".join(f"{rnd.choice(NOUNS)}{rnd.choice(NOUNS)}.{rnd.choice(['at', 'shop', 'example'])}/{rnd.choice(NOUNS)}" for _ in range(90)),
+        " ".join(f"@{rnd.choice(NOUNS)} {rnd.choice(NOUNS)}" for _ in range(90)),
+        " ".join(f"{rnd.choice(NOUNS)} REF{k * 137 + 1000}," for k in range(90)),
+    ]
+    rows = [*pages, *fine, *((4000 + i, t, "en") for i, t in enumerate(spam))]
+    one = " ".join(_prose(rnd, 150)) + " gartenshop.de tools.biz/x www.felt-hats.at " + " ".join(_prose(rnd, 100))
+    df = spark.createDataFrame([*rows, (5000, one, "en")], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == [4000 + i for i in range(len(spam))]
+
+
+def test_a_language_that_is_mostly_link_lists(spark):
+    rnd = random.Random(3)
+    pages = _varied(rnd)
+    lists = [(3000 + i, " ".join(f"{rnd.choice(NOUNS)}{k}.de/{rnd.choice(NOUNS)}" for k in range(rnd.randint(70, 120))), "en") for i in range(300)]
+    df = spark.createDataFrame([*pages, *lists], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == [i for i, _, _ in lists]

@@ -1,11 +1,13 @@
 """Pages of repeated keywords, links or product tags in place of prose.
 
 For each page the words are counted and ranked by frequency; SQL windows and aggregations fit the line log frequency over log rank (equal
-frequencies at their mean rank) and give its slope and residual, and the divergence of the page's words from its language's. A page
-whose slope, residual or divergence is extreme among pages of its language and length is a suspect, and so is one that repeats itself or names links
-much by itself, whatever the others do. Copies of a page count once and pages suspect by themselves not at all in what is usual, so that stuffed pages,
-however many, are not measured against each other. Suspects alone are then read word by word: the share of words that are links, tags, or keywords
-repeated at short distance decides.
+frequencies at their mean rank) and give its slope and residual, and the divergence of the page's words from its language's. Links and tags have no
+list of their own: a token built like one (names joined by dots or slashes, mark-up, a sign before a name) counts as one more word, ``MARK``, of the page,
+so a page of links is a page that repeats this word. A page whose slope, residual or divergence is extreme among pages of its language and length is a
+suspect, and so is one that repeats itself, whatever the others do. Copies of a page count once and pages suspect by themselves not at all in what is
+usual, so that stuffed pages, however many, are not measured against each other. The words that make a suspect's divergence, far more frequent
+on it than in its language, are its keywords; suspects alone are then read word by word, and the share of words among keywords repeated at short
+distance decides.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from traceloom.session import broadcast_if_bounded, materialize
 
 #: Spreads (median minus lower quartile) beyond the median of like pages from which a page is a suspect; pages a group needs to be a standard.
 SPREADS, GROUP = 3.0, 30
-#: Chance that two words of a page are the same (of three letters or more), and share of its words in links, from which it is a suspect by itself.
-REPEATS, LINKS = 0.02, 0.1
+#: Chance that two words of a page are the same (of three letters or more), from which it is a suspect by itself.
+REPEATS = 0.02
 #: Share of a language's pages a word must be on to be in its vocabulary, and the frequency of all other words.
 ON_PAGES, RARE = 0.001, 1e-5
 #: A keyword: at least so often on the page, so many times its frequency in the language, within so many words of itself.
@@ -33,9 +35,11 @@ TIMES, EXCESS, REACH = 3, 6.0, 16
 AROUND, DENSE = 4, 0.4
 #: Shares at which misread keywords are looked for.
 UNCLEAR = (0.1, 0.6)
-#: Words that tell a link or a tag, whatever the page.
-LINK = re.compile(r"://|www\.|https?|href|<a\b|</a>|\]\(|\.html|\.(?:example|test|invalid|com|net|org|info|shop)\b|\?\w+=|^[»›·]$|[\w-]+\.[a-z]{4,8}/", re.I)
-TAG = re.compile(r"^\W?sku\W?\d+|^size-\d+|^#\w", re.I)
+#: The word that every token built like a link or a tag counts as.
+MARK = "://"
+_BUILT = r"(?:L{2,}[-0-9]*[./:@?&=+_~\\][-0-9./:@?&=+_~\\]*L|L{2,}[0-9]{3}|</?L|L>|L[=(]+[\"'<]|\](?=\()|(?<=\s)\W?[#@]L)\S*"
+#: Names joined by the signs of addresses, a name that runs into a number, mark-up, or a sign that makes a name a tag.
+BUILT_SQL, BUILT = (_BUILT.replace("L", r"\p{L}"), re.compile(_BUILT.replace("L", r"[^\W\d_]")))
 NUMBER = re.compile(r"^\W*\d[\d.,:½¼¾]*\W*$")
 BROKEN = "[-­¬‐‑=]\\s*[\\n\\r\u0085 \\x0b\\x0c]+\\s*"
 _FROM = "ſàáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
@@ -43,20 +47,31 @@ _TO = "saaaaaaceeeeiiiinoooooouuuuyy"
 
 
 def words(text: Column) -> Column:
-    """The words of a text in a plain form, as an array: broken lines joined, lower case, letters and digits only, accents and plural s off."""
+    """The words of a text in a plain form, as an array: broken lines joined, lower case, letters and digits only, accents and plural s off.
+
+    Other signs part words, but for apostrophes and accents; each link or tag adds a ``MARK``.
+    """
     whole = F.regexp_replace(text, BROKEN, "")
-    plain = F.translate(F.lower(whole), _FROM + "ﬂﬁ", _TO + "ff")
-    only = F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}\s]", ""), r"s+(?=\s|$)", "")
-    return F.filter(F.split(only, r"\s+"), lambda w: w != "")
+    plain = F.translate(F.lower(whole), _FROM + "ﬂﬁ'’‘´`", _TO + "ff")
+    only = F.regexp_replace(F.regexp_replace(plain, r"\p{M}+", ""), r"[^\p{L}\p{N}]+", " ")
+    listed = F.filter(F.split(F.regexp_replace(only, r"s+(?= |$)", ""), " "), lambda w: w != "")
+    marks = F.regexp_count(F.concat(F.lit(" "), whole), F.lit(BUILT_SQL))
+    return F.when(marks > 0, F.concat(listed, F.array_repeat(F.lit(MARK), marks))).otherwise(listed)
+
+
+def plain_words(token: str) -> list[str]:
+    """``words`` for a single token, without marks."""
+    x = unicodedata.normalize("NFC", token).lower().translate(_TABLE)
+    parts = "".join(c if c.isalnum() else "" if unicodedata.category(c)[0] == "M" else " " for c in x).split()
+    return [p for w in parts if (p := w.rstrip("s"))]
 
 
 def plain_word(w: str) -> str:
-    """``words`` for a single word."""
-    x = w.lower().translate(_TABLE)
-    return "".join(c for c in x if c.isalnum()).rstrip("s")
+    """The parts of a token as one."""
+    return "".join(plain_words(w))
 
 
-_TABLE = {ord(a): b for a, b in zip(_FROM + "ﬂﬁ", _TO + "ff")}
+_TABLE = {ord(a): b for a, b in zip(_FROM + "ﬂﬁ", _TO + "ff")} | dict.fromkeys(map(ord, "'’‘´`"))
 
 
 def _language(lang: str) -> Column:
@@ -91,12 +106,11 @@ def folded_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
 
 
 def page_sizes(counts: DataFrame) -> DataFrame:
-    """``(key, lang, n, alone)``: the words of each page, and whether the page is suspect by itself: it repeats its own words, or links fill it."""
-    f, word = F.col("f").cast("bigint"), F.col("word")
-    again = F.sum(F.when(F.length(word) >= 3, f * (f - 1)).otherwise(0))
-    links = F.sum(F.when(word.contains("http") | word.contains("www") | word.contains("href"), f).otherwise(0))
+    """``(key, lang, n, alone)``: the words of each page, and whether the page is suspect by itself: it repeats its own words (``MARK`` is one)."""
+    f = F.col("f").cast("bigint")
+    again = F.sum(F.when(F.length("word") >= 3, f * (f - 1)).otherwise(0))
     n = F.sum(f)
-    alone = (again >= F.lit(REPEATS) * n * (n - 1)) & (again > 0) | (links >= F.lit(LINKS) * n)
+    alone = (again >= F.lit(REPEATS) * n * (n - 1)) & (again > 0)
     return counts.groupBy(*PAGE).agg(n.alias("n"), alone.alias("alone"))
 
 
@@ -190,15 +204,15 @@ _BROKEN = re.compile(BROKEN)
 
 
 def stuffed_share(text: str | None, kw: set[str], misread: bool = False) -> float:
-    """The share of a page's words that belong to links, tags or keywords repeated at short distance; 0 without words.
+    """The share of a page's words that belong to keywords ``kw`` repeated at short distance; 0 without words.
 
-    Words among numbers (tables of prices or times) are no keywords. A word belongs if enough of the words around it are marked, so that
-    places named between keywords count with them and a single link in an article counts little. ``misread``: words that differ from a keyword by
-    a letter, or two in longer ones, count as that keyword.
+    If ``MARK`` is a keyword, so is every token built like a link or a tag. Words among numbers (tables of prices or times) are no keywords. A word belongs
+    if enough of the words around it are marked, so that places named between keywords count with them and a single link in an article counts
+    little. ``misread``: words that differ from a keyword by a letter, or two in longer ones, count as that keyword.
     """
     if not text:
         return 0.0
-    toks = [x for x in _BROKEN.sub("", text).split() if x in "»›·" or any(c.isalnum() for c in x)]
+    toks = [x for x in _BROKEN.sub("", text).split() if any(c.isalnum() for c in x)]
     n = len(toks)
     if not n:
         return 0.0
@@ -207,19 +221,21 @@ def stuffed_share(text: str | None, kw: set[str], misread: bool = False) -> floa
         numbers.append(numbers[-1] + bool(NUMBER.match(x)))
     long = [k for k in kw if len(k) >= 5] if misread else []
     marked, last = bytearray(n), {}
+    built = MARK in kw
     for j, x in enumerate(toks):
-        if LINK.search(x) or TAG.search(x):
+        if built and BUILT.search(" " + x):
             marked[j] = 1
-        elif kw and numbers[min(n, j + 6)] - numbers[max(0, j - 5)] < 2:
-            w = plain_word(unicodedata.normalize("NFC", x))
-            if w not in kw:
-                w = next((k for k in long if near(w, k, 1 if len(k) < 9 else 2)), None) if long and len(w) >= 4 else None
-                if w is None:
-                    continue
-            p = last.get(w)
-            if p is not None and j - p <= REACH:
-                marked[j] = marked[p] = 1
-            last[w] = j
+        if kw and numbers[min(n, j + 6)] - numbers[max(0, j - 5)] < 2:
+            parts = plain_words(x)
+            here = [w for w in parts if w in kw]
+            if not here:
+                w = "".join(parts)
+                here = [w] if w in kw else [k for k in long if near(w, k, 1 if len(k) < 9 else 2)][:1] if long and len(w) >= 4 else ()
+            for w in here:
+                p = last.get(w)
+                if p is not None and j - p <= REACH:
+                    marked[j] = marked[p] = 1
+                last[w] = j
     sums = [0]
     for m in marked:
         sums.append(sums[-1] + m)
