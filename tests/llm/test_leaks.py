@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from traceloom.llm.leaks import WINDOW, Patterns, codes, follow, leaks, letters, longest, near, page_leaks, passage, reading_order, scan
 
@@ -21,16 +22,10 @@ def test_scan_finds_every_window():
     pat = _pat(*texts)
     page = codes(" ".join(_text(9, 50)) + texts[2] + "\x00" + texts[4] + " ".join(_text(8, 3000)))
     start, slot = scan(page, pat)
-    keys = {int(k) for k in pat.keys}
-    want = set()
-    for i in range(len(page) - WINDOW + 1):
-        w = page[i : i + WINDOW]
-        key = 0
-        for c in w.tolist():
-            key = key * 37 + c
-        if (w > 0).all() and key in keys:
-            want.add((i, key))
-    assert {(int(a), int(pat.keys[b])) for a, b in zip(start, slot)} == want
+    names = [pat.text[i : i + WINDOW].tobytes() for i in pat.place]
+    known = set(names)
+    want = {(i, w) for i in range(len(page) - WINDOW + 1) if (w := page[i : i + WINDOW].tobytes()) in known}
+    assert want and {(int(a), names[b]) for a, b in zip(start, slot)} == want
 
 
 def _found(page, *passages):
@@ -68,7 +63,7 @@ def test_small_parts():
     assert longest([0, 0, 1, 0, 2, 2, 2, 0]) == 4 and longest([]) == 0
     assert follow("abcdef", 0, "abc", [(0, 3)], frozenset()) == [0]
     assert len(codes("\x00a\x00")) == 3 and passage(1, " ... ") is None
-    assert len(scan(np.zeros(0, np.uint8), _pat("a b c"))[0]) == 0
+    assert len(scan(np.zeros(0, np.uint32), _pat("a b c"))[0]) == 0
 
 
 def test_frame(spark):
@@ -81,3 +76,57 @@ def test_frame(spark):
     got = {(r.doc_id, r.item_id): r.n_words for r in leaks(df, items).collect()}
     assert got == {(1, 10): 40, (5, 10): 40, (6, 10): 40}
     assert leaks(df.limit(0), items).count() == 0 and leaks(df, items.limit(0)).count() == 0
+
+
+def _made(seed, n, alphabet, blanks=True):
+    rnd = random.Random(seed)
+    return [("".join(rnd.choice(alphabet) for _ in range(rnd.randint(3, 8)))) if blanks else rnd.choice(alphabet) for _ in range(n)]
+
+
+SCRIPTS = {
+    "cyrillic": ("абвгдежзийклмнопрстуфхцчшщыэюя", " "),
+    "greek": ("αβγδεζηθικλμνξοπρστυφχψωάέή", " "),
+    "arabic": ("ابتثجحخدذرزسشصضطظعغفقكلمنهوي", " "),
+    "hebrew": ("אבגדהוזחטיכלמנסעפצקרשת", " "),
+    "hindi": ("कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह", " "),
+    "korean": ("가나다라마바사아자차카타파하고노도로모", " "),
+    "chinese": ("".join(chr(0x4E00 + 37 * k) for k in range(400)), ""),
+    "japanese": ("あいうえおかきくけこさしすせそたちつてとなにぬねのカキクケコ東京大学日本国会議員", ""),
+    "thai": ("กขคงจฉชซญดตถทธนบปผฝพฟภมยรลวศษสหอฮ", ""),
+}
+
+
+@pytest.mark.parametrize("script", list(SCRIPTS))
+def test_passages_of_any_script(script):
+    alphabet, blank = SCRIPTS[script]
+    spaced = bool(blank)
+    unit = 1 if spaced or script != "thai" else 4  # Thai words are four letters
+    words = _made(1, 60 * unit, alphabet, spaced)
+    other = [_made(s, 80 * unit, alphabet, spaced) for s in (2, 3)]
+    p = blank.join(words)
+    before, after = (blank.join(o) for o in other)
+    assert _found(f"{before}{blank}{p}{blank}{after}", p)[0, 0] == 60
+    cut = blank.join(words[12 * unit : 42 * unit])
+    assert _found(f"{before}\n{cut.upper()}。{blank}{after}", p)[0, 0] >= 29
+    assert not _found(f"{before}{blank}{blank.join(words[10 * unit : 26 * unit])}{blank}{after}", p)
+    assert not _found(f"{before}{blank}{blank.join(reversed(words))}{blank}{after}", p)
+    wrong = [(w[:1] + alphabet[5] + w[2:] if len(w) > 1 else alphabet[5]) if k % (6 * unit) == 3 else w for k, w in enumerate(words)]
+    assert _found(f"{before}{blank}{blank.join(wrong)}{blank}{after}", p)[0, 0] >= 50
+
+
+def test_pages_in_other_scripts_as_a_table(spark):
+    alphabet = SCRIPTS["cyrillic"][0]
+    p = " ".join(_made(1, 38, alphabet))
+    docs = spark.createDataFrame([(1, p), (2, " ".join(_made(5, 300, alphabet))), (3, "x\x00" + p)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, p)], "item_id bigint, passage string")
+    assert {(r.doc_id, r.item_id, r.n_words) for r in leaks(docs, items).collect()} == {(1, 7, 38), (3, 7, 38)}
+
+
+def test_a_passage_over_many_codes_of_a_long_page_is_one(monkeypatch):
+    import traceloom.llm.leaks as m
+
+    words = _text(1, 4000)
+    page = " ".join(_text(50, 500)) + " " + " ".join(words) + " " + " ".join(_text(51, 500))
+    whole = _found(page, " ".join(words))
+    monkeypatch.setattr(m, "SCANNED", 5000)
+    assert _found(page, " ".join(words)) == whole == {(0, 0): 4000}

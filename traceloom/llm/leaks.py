@@ -1,10 +1,14 @@
 """Passages of test material inside a corpus, whole or in part.
 
-Pages are put into reading order by their line boxes and reduced to a stream of letters and digits, so case, punctuation, hyphens and line breaks
-do not matter. Search strings are the twelve-letter windows of the passages that few passages share. A page's stream is scanned with Wu-Manber's
-tables: a block's shift passes over positions where no string can end, blocks with shift 0 lead to the strings that end in them, and these are
-compared directly. All lanes of a batch step together as arrays. Where enough strings of one passage lie on one diagonal, the passage is
-followed word by word to both sides, allowing misread words and adverts set between, and the longest stretch that holds is reported.
+Pages are put into reading order by their line boxes and reduced to a stream of letters and digits of any script, so case, punctuation, hyphens and
+line breaks do not matter. Search strings are the twelve-letter windows of the passages that few passages share. A page's stream is scanned with
+Wu-Manber's tables: only the blocks at visited positions are hashed; a block's shift passes over positions where no string can end, a block with shift 0
+leads to the bucket of strings that end in blocks of its hash, and these are compared directly. All lanes of a batch step together as arrays.
+Where enough strings of one passage lie on one diagonal, the passage is followed word by word to both sides, allowing misread words and adverts
+set between, and the longest stretch that holds is reported.
+
+Scripts without blanks have no written words: a Chinese character or a kana counts as a word of ``IDEOGRAPH`` letters (all but one of them the same filler,
+so that another character is a misread word and not a lost one), and Thai, Lao, Burmese and Khmer are cut into words of ``UNSPACED`` letters.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +27,10 @@ from pyspark.sql import functions as F
 
 from traceloom.session import collect_bounded
 
-#: Letters of a search string, of a block; entries of the shift table (a power of two).
-WINDOW, BLOCK, TABLE = 12, 6, 1 << 22
+#: Letters of a search string, of a block; entries of the shift table and of the table of buckets (powers of two).
+WINDOW, BLOCK, TABLE, BUCKETS = 12, 6, 1 << 22, 1 << 18
+#: Letters a character of a script of whole-word characters counts as, and of a word in other scripts without blanks.
+IDEOGRAPH, UNSPACED = 5, 4
 #: A string of more passages than this is searched only where a stretch of ``MIN_WORDS`` words would else have fewer than ``STRINGS`` of them.
 SHARED, STRINGS = 3, 24
 #: Letters of a passage covered by strings on one diagonal (within ``SLACK`` letters) from which the passage is followed on the page.
@@ -39,26 +47,55 @@ ADVERT = 320
 ITEMS = 50_000
 #: Codes of one lane.
 LANE = 1024
-#: Characters scanned at a time; a longer page is cut into parts that overlap by ``OVERLAP`` characters.
-PART, OVERLAP = 1 << 21, 1 << 14
-
-_LUT = np.zeros(0x110000, np.uint8)
-for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789"):
-    _LUT[ord(_c)] = _i + 1
-_SPECIAL = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "\x00": " "})
-_CHARS = np.frombuffer(b"\x00abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+#: Characters read together, and codes scanned at a time; a longer page is one stream all the same.
+PART, SCANNED = 1 << 20, 1 << 21
+
+_SPECIAL = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ς": "σ"})
+#: What stands for the letters an ideograph counts as besides itself: a private character, which no text keeps.
+FILLER = 0xE000
+_IDEOGRAPHS = ((0x3005, 0x3007), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF))
+#: Multipliers of a block's letters, and of the mixing after.
+_MULTIPLY = np.random.default_rng(11).integers(1, 2**63, BLOCK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """By code point: 0 is left out, 1 a letter or digit, 2 an ideograph, 3 a letter of a script without blanks."""
+    kinds = np.zeros(0x110000, np.uint8)
+    kinds[[i for i in range(0x32400) if unicodedata.category(chr(i))[0] in "LN"]] = 1
+    kinds[0x02B0:0x0300] = kinds[0x0640] = 0  # modifiers, and the stroke that stretches Arabic words
+    for code, ranges in ((2, _IDEOGRAPHS), (3, _UNSPACED)):
+        for lo, hi in ranges:
+            part = kinds[lo : hi + 1]
+            part[part > 0] = code
+    return kinds
 
 
 def codes(text: str) -> np.ndarray:
-    """Letters and digits as 1 to 36, accents off, NUL as 0; everything else left out. Letters beyond Latin are left out too."""
-    plain = unicodedata.normalize("NFKD", text.lower().replace("\x00", "￾").translate(_SPECIAL))
+    """Letters and digits of any script as code points, case, accents and vowel signs off; NUL is 0; everything else is left out."""
+    plain = text.lower()
+    if not plain.isascii():
+        plain = unicodedata.normalize("NFKD", plain.translate(_SPECIAL))
     points = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = _LUT[points]
-    return c[(c > 0) | (points == 0xFFFE)]
+    kinds = _kinds()[points]
+    keep = (kinds > 0) | (points == 0)
+    c, kinds = points[keep], kinds[keep]
+    ideographs = kinds == 2
+    if not ideographs.any():
+        return c
+    at = np.cumsum(np.where(ideographs, IDEOGRAPH, 1))
+    out = np.full(at[-1], FILLER, np.uint32)
+    out[at - 1] = c
+    return out
+
+
+def _string(c: np.ndarray) -> str:
+    return c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def letters(text: str) -> str:
-    return _CHARS[codes(text)].tobytes().replace(b"\x00", b"").decode()
+    return _string(codes(text)).replace("\x00", "")
 
 
 _GAP = re.compile(r"\s*\t\s*|\s{2,}|\s+[|¦‖│]\s+")
@@ -102,10 +139,10 @@ class Passage:
 
 
 def passage(item: int, text: str) -> Passage | None:
+    """A passage by its words; none if it has no letter."""
     starts, ends, out, at = [], [], [], 0
     for w in text.split():
-        x = letters(w)
-        if x:
+        for x in _words(letters(w)):
             starts.append(at)
             at += len(x)
             ends.append(at)
@@ -115,6 +152,18 @@ def passage(item: int, text: str) -> Passage | None:
     return Passage(item, whole, starts, ends, windows, frozenset(w[::-1] for w in windows)) if out else None
 
 
+def _words(x: str) -> Iterator[str]:
+    """What stands between two blanks as words: one, but for scripts without blanks."""
+    if not x or x.isascii():
+        yield from [x] if x else []
+        return
+    kinds = _kinds()
+    for kind, run in groupby(x, lambda c: 2 if ord(c) == FILLER else int(kinds[ord(c)])):
+        part = "".join(run)
+        size = IDEOGRAPH if kind == 2 else UNSPACED if kind == 3 else len(part)
+        yield from (part[i : i + size] for i in range(0, len(part), size))
+
+
 class Patterns:
     """The search strings of a set of passages and Wu-Manber's tables over them."""
 
@@ -134,17 +183,20 @@ class Patterns:
                 lack = STRINGS - sum(w in chosen for w in inside)
                 if lack > 0:
                     chosen.update(sorted((w for w in inside if w not in chosen), key=lambda w: (owners[w], w))[:lack])
+        texts = [np.frombuffer(p.text.encode("utf-32-le", "surrogatepass"), np.uint32) for p in passages]
+        first = np.cumsum([0, *(len(t) for t in texts)])
+        #: the passages' letters, one after the other; a search string is a place in them
+        self.text = np.concatenate([*texts, np.zeros(1, np.uint32)])
         names = sorted(chosen)
-        grid = np.array([codes(w) for w in names], np.int64).reshape(-1, WINDOW)
-        keys = np.zeros(len(names), np.int64)
-        for i in range(WINDOW):
-            keys = keys * 37 + grid[:, i]
-        order = np.argsort(keys)
-        self.keys = keys[order]
+        place = np.array([first[where[w][0][0]] + where[w][0][1] for w in names], np.int64)
         self.shift = np.full(TABLE, WINDOW - BLOCK + 1, np.int8)
         for end in range(BLOCK, WINDOW + 1):
-            h = _block_hash(grid, end - BLOCK)
-            np.minimum.at(self.shift, h, np.int8(WINDOW - end))
+            np.minimum.at(self.shift, block_hash(self.text, place + end - BLOCK), np.int8(WINDOW - end))
+        bucket = block_hash(self.text, place + WINDOW - BLOCK) % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        #: strings in the order of the buckets of their last blocks, and where each bucket begins
+        self.place = place[order].astype(np.int32)
+        self.bucket = np.searchsorted(bucket[order], np.arange(BUCKETS + 1)).astype(np.int32)
         occ = [where[names[i]] for i in order.tolist()]
         self.offsets = np.concatenate([[0], np.cumsum([len(o) for o in occ])]).astype(np.int64)
         flat = [x for o in occ for x in o]
@@ -152,52 +204,52 @@ class Patterns:
         self.at = np.array([i for _, i in flat], np.int64)
 
 
-def _block_hash(grid: np.ndarray, i: int) -> np.ndarray:
-    h = np.zeros(len(grid), np.int64)
-    for k in range(BLOCK):
-        h = h * 37 + grid[:, i + k]
-    return _mix(h)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    return ((h * 0x9E3779B1) >> 7) & (TABLE - 1)
+def block_hash(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the blocks that start at the given places, below ``TABLE``."""
+    h = stream[at] * _MULTIPLY[0]
+    for k in range(1, BLOCK):
+        h += stream[at + k] * _MULTIPLY[k]
+    h ^= h >> np.uint64(31)
+    h *= _MULTIPLY[0]
+    return (h >> np.uint64(64 - TABLE.bit_length() + 1)).astype(np.int64)
 
 
 def scan(stream: np.ndarray, pat: Patterns) -> tuple[np.ndarray, np.ndarray]:
-    """``(end positions, pattern numbers)`` of all search strings in a stream of codes; a 0 is in no string."""
-    n = len(stream)
-    if n < WINDOW or not len(pat.keys):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    wide = stream.astype(np.int64)
-    block = np.zeros(n - BLOCK + 1, np.int64)
-    for k in range(BLOCK):
-        block = block * 37 + wide[k : k + len(block)]
-    shift = pat.shift[_mix(block)]  # shift[i]: of the block that starts at i
-    pos = np.arange(WINDOW - BLOCK, len(shift), LANE)
-    stop = np.minimum(pos + LANE, len(shift))
-    found = []
+    """``(start positions, string numbers)`` of all search strings in a stream of codes; a 0 is in no string."""
+    none = np.zeros(0, np.int64)
+    got = [(none, none)]
+    if len(pat.place):
+        for lo in range(0, len(stream), SCANNED):
+            start, slot = _scan(stream[lo : lo + SCANNED + WINDOW - 1], pat)
+            got.append((start + lo, slot))
+    return tuple(np.concatenate(x) for x in zip(*got))
+
+
+def _scan(stream: np.ndarray, pat: Patterns) -> tuple[np.ndarray, np.ndarray]:
+    n = len(stream) - BLOCK + 1
+    pos = np.arange(WINDOW - BLOCK, n, LANE)  # of the block that would end a string
+    stop = np.minimum(pos + LANE, n)
+    ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(pos):
-        s = shift[pos]
-        hit = pos[s == 0]
-        if len(hit):
-            found.append(hit)
+        h = block_hash(stream, pos)
+        s = pat.shift[h]
+        hit = s == 0
+        ends.append(pos[hit])
+        hashes.append(h[hit])
         pos = pos + np.maximum(s, 1)
         live = pos < stop
         if not live.all():
             pos, stop = pos[live], stop[live]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start = np.concatenate(found) - (WINDOW - BLOCK)
-    key = np.zeros(len(start), np.int64)
-    clean = np.ones(len(start), bool)
+    start = np.concatenate(ends) - (WINDOW - BLOCK)
+    bucket = np.concatenate(hashes) % BUCKETS
+    lo = pat.bucket[bucket].astype(np.int64)
+    n = pat.bucket[bucket + 1] - lo
+    slot = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(start, n)
     for k in range(WINDOW):
-        c = wide[start + k]
-        clean &= c > 0
-        key = key * 37 + c
-    slot = np.searchsorted(pat.keys, key)
-    slot[slot == len(pat.keys)] = 0
-    same = clean & (pat.keys[slot] == key)
-    return start[same], slot[same]
+        same = stream[start + k] == pat.text[pat.place[slot] + k]
+        start, slot = start[same], slot[same]
+    return start, slot
 
 
 def candidates(stream: np.ndarray, bounds: np.ndarray, pat: Patterns) -> list[tuple[int, int, int, int]]:
@@ -267,7 +319,9 @@ def _prefix(w: str, text: str, most: int) -> tuple[int, int]:
 
 
 def follow(doc: str, j: int, text: str, words: list[tuple[int, int]], windows: frozenset) -> list[int]:
-    """How each word of ``words`` is found on the page from position ``j`` on: 0 as it is, 1 misread, 2 not recognisable; ends where the trail is lost.
+    """How each word of ``words`` is found on the page from position ``j`` on: 0 as it is, 1 misread, 2 not recognisable, 3 another ideograph.
+
+    Ends where the trail is lost. An ideograph has no letters to recognise it by: another one in its place may be a misread one inside a stretch, but no end of it.
 
     ``text`` and ``words`` are the passage's letters and the spans of its words from the trail's start; ``windows`` its search windows (matter set between is
     passed over only if none of them is in it).
@@ -312,8 +366,9 @@ def follow(doc: str, j: int, text: str, words: list[tuple[int, int]], windows: f
         if lost > 3:
             while out and out[-1]:
                 out.pop()
-            return out
-    return out
+            break
+    filler = chr(FILLER)
+    return [3 if s and filler in text[a:b] else s for s, (a, b) in zip(out, words)] if filler in text else out
 
 
 def _advert(doc: str, j: int, text: str, words: list[tuple[int, int]], n: int, windows: frozenset) -> tuple[int, int] | None:
@@ -348,14 +403,14 @@ def longest(states: list[int], misread: float = MISREAD, lost: float = LOST) ->
     bad, gone = [0], [0]
     for s in states:
         bad.append(bad[-1] + (s > 0))
-        gone.append(gone[-1] + (s > 1))
+        gone.append(gone[-1] + (s == 2))
     n, best = len(states), 0
     for a in range(n):
         if states[a]:
             continue
         for b in range(n, a + best, -1):
             size = b - a
-            if bad[b] - bad[a] <= misread * size and gone[b] - gone[a] <= lost * size:
+            if states[b - 1] < 3 and bad[b] - bad[a] <= misread * size and gone[b] - gone[a] <= lost * size:
                 best = size
                 break
     return best
@@ -375,16 +430,21 @@ def matched_words(doc: str, p: Passage, j: int, q: int) -> int:
 
 def page_leaks(texts: list[str], pat: Patterns, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int]]:
     """``(page, item, words)`` of pages in reading order."""
-    stream = codes("\x00".join(texts))
+    if not texts:
+        return
+    stream = codes("\x00".join(t.replace("\x00", " ") if "\x00" in t else t for t in texts))
     cuts = np.flatnonzero(stream == 0)
     bounds = np.concatenate([[0], cuts + 1])
-    chars = _CHARS[stream].tobytes().decode("latin-1")
     best: dict[tuple[int, int], int] = {}
     for page, k, j, q in candidates(stream, bounds, pat):
         if best.get((page, k), 0) >= len(pat.passages[k].starts):
             continue
-        doc = chars[bounds[page] : cuts[page] if page < len(cuts) else len(stream)]
-        n = matched_words(doc, pat.passages[k], j, q)
+        p = pat.passages[k]
+        # as far as the passage can reach with matter set between all its words
+        lo, hi = bounds[page], cuts[page] if page < len(cuts) else len(stream)
+        far = 2 * len(p.text) + (len(p.starts) + 1) * (ADVERT + WINDOW)
+        a, b = max(lo, lo + j - far), min(hi, lo + j + far)
+        n = matched_words(_string(stream[a:b]), p, int(lo + j - a), q)
         if n > best.get((page, k), 0):
             best[page, k] = n
     for (page, k), n in best.items():
@@ -392,22 +452,15 @@ def page_leaks(texts: list[str], pat: Patterns, min_words: int = MIN_WORDS) -> I
             yield page, pat.passages[k].item, n
 
 
-def _parts(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """``(numbers, texts)`` of about ``PART`` characters."""
-    at, held, size = [], [], 0
+def _together(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``PART`` characters; a longer text is a range of its own."""
+    first, size = 0, 0
     for i, t in enumerate(texts):
-        for lo in range(0, max(1, len(t) - OVERLAP), PART - OVERLAP):
-            piece = t if len(t) <= PART else t[lo : lo + PART]
-            if held and size + len(piece) > PART:
-                yield at, held
-                at, held, size = [], [], 0
-            at.append(i)
-            held.append(piece)
-            size += len(piece)
-            if len(t) <= PART:
-                break
-    if held:
-        yield at, held
+        if i > first and size + len(t) > PART:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    yield first, len(texts)
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
@@ -431,9 +484,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", min_words: int
                 continue
             texts = in_reading_order(b.column(1), b.column(2), b.column(3))
             rows: dict[tuple[int, int], int] = {}
-            for at, held in _parts(texts):
-                for i, item, n in page_leaks(held, patterns, min_words):
-                    rows[at[i], item] = max(n, rows.get((at[i], item), 0))
+            for lo, hi in _together(texts):
+                rows.update(((lo + i, item), n) for i, item, n in page_leaks(texts[lo:hi], patterns, min_words))
             found = sorted(rows)
             keys = b.column(0).take(pa.array([i for i, _ in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([keys, pa.array([k for _, k in found], pa.int64()), pa.array([rows[x] for x in found], pa.int32())], ["key", "item_id", "n_words"])
