@@ -50,7 +50,7 @@ LANE = 1024
 #: Characters read together, and codes scanned at a time; a longer page is one stream all the same.
 PART, SCANNED = 1 << 20, 1 << 21
 
-_SPECIAL = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ς": "σ"})
+_SPECIAL = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ς": "σ"}
 #: What stands for the letters an ideograph counts as besides itself: a private character, which no text keeps.
 FILLER = 0xE000
 _IDEOGRAPHS = ((0x3005, 0x3007), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
@@ -76,7 +76,9 @@ def codes(text: str) -> np.ndarray:
     """Letters and digits of any script as code points, case, accents and vowel signs off; NUL is 0; everything else is left out."""
     plain = text.lower()
     if not plain.isascii():
-        plain = unicodedata.normalize("NFKD", plain.translate(_SPECIAL))
+        for a, b in _SPECIAL.items():
+            plain = plain.replace(a, b)
+        plain = unicodedata.normalize("NFKD", plain)
     points = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = _kinds()[points]
     keep = (kinds > 0) | (points == 0)
