@@ -1,7 +1,10 @@
+import math
 import random
 from itertools import product
 
-from traceloom.llm.patterns import Miner, closed_patterns, frequent_patterns, recover
+import pytest
+
+from traceloom.llm.patterns import Miner, closed_patterns, frequent_counts, frequent_patterns, recover
 
 
 def _in(p, s):
@@ -64,3 +67,28 @@ def test_empty_and_rare(spark):
     assert closed_patterns(df.limit(0), 0.5) == ({}, 0)
     assert closed_patterns(df, 0.9) == ({}, 3)
     assert frequent_patterns(df, 0.9).count() == 0
+
+
+def test_a_long_shared_process(spark):
+    steps = [f"s{k:02d}" for k in range(24)]
+    df = spark.createDataFrame([(f"t{i}", x, p) for i in range(20) for p, x in enumerate(steps)], "trace string, event_type string, pos int")
+    got = frequent_patterns(df, 0.5, 3, 5, distinct=True, closed=False)
+    assert got.count() == sum(math.comb(24, k) for k in (3, 4, 5)) and {r.n_traces for r in got.select("n_traces").distinct().collect()} == {20}
+    with pytest.raises(Exception, match="more than 1000000 frequent patterns"):
+        closed_patterns(df, 0.5)  # all of its 16 million subsequences
+
+
+def test_mostly_long_traces_are_mined_by_levels(spark, monkeypatch):
+    import traceloom.llm.patterns as m
+
+    monkeypatch.setattr(m, "CHUNK", 7)
+    rnd = random.Random(11)
+    seqs = [[rnd.randrange(4) for _ in range(rnd.randint(3, 20))] for _ in range(30)]
+    want = {tuple("abcd"[x] for x in p): k for p, k in _all(seqs, 0.4 * len(seqs), range(4), 4).items()}
+    for long in (2, 8, 1000):
+        got, n = frequent_counts(_frame(spark, seqs), 0.4, 1, 4, long=long)
+        assert n == len(seqs) and got == want
+        short, _ = frequent_counts(_frame(spark, seqs), 0.4, 2, 3, True, long=long, shard=60)
+        assert short == {p: k for p, k in want.items() if len(p) in (2, 3) and len(set(p)) == len(p)}
+    marked = {tuple(r.steps): r.closed for r in frequent_patterns(_frame(spark, seqs), 0.4, 1, 3).collect()}
+    assert marked == {p: not any(len(q) == len(p) + 1 and c == want[p] and _in(p, q) for q, c in want.items()) for p in want if len(p) <= 3}

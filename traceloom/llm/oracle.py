@@ -29,10 +29,10 @@ q{k} as (select p from x{k} group by p having count(*) >= 0.05 * (select n from
     return out
 
 
-ALL = " union all ".join(["select p, count(*) as n from l1 group by p", *(f"select p, count(*) as n from l{k} group by p" for k in range(2, 8))])
-CLOSED = f"""{_patterns(7, False)}, fp as ({ALL}), less as (select distinct list_concat(p[1:i - 1], p[i + 1:]) as p, n from (select p, n, unnest(range(1, len(p) + 1)) as i from fp))"""
+ALL = " union all ".join(["select p, count(*) as n from l1 group by p", *(f"select p, count(*) as n from l{k} group by p" for k in range(2, 5))])
+CLOSED = f"""{_patterns(4, False)}, fp as ({ALL}), less as (select distinct list_concat(p[1:i - 1], p[i + 1:]) as p, n from (select p, n, unnest(range(1, len(p) + 1)) as i from fp))"""
 SQL = {
-    "p2_closed": f"with {CLOSED} select array_to_string(fp.p, ' > ') as pattern, fp.n as n_traces, less.p is null as closed from fp left join less on less.p = fp.p and less.n = fp.n",
+    "p2_short": f"with {CLOSED} select array_to_string(fp.p, ' > ') as pattern, fp.n as n_traces, less.p is null as closed from fp left join less on less.p = fp.p and less.n = fp.n where len(fp.p) <= 3",
     "p1_found": f"with {SIMILAR} select a as constraint_id_a, b as constraint_id_b from sim",
     "p1_classes": f"""with {SIMILAR}, g as (select id, string_agg(t, '|' order by t) as m from mem group by id), k as (select id, min(id) over (partition by m) as rep from g),
 links as (select distinct u.rep as x, v.rep as y from (select a, b from sim union all select b, a from sim) s join k u on u.id = s.a join k v on v.id = s.b where u.rep <> v.rep),

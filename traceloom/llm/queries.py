@@ -49,7 +49,7 @@ def _patterns(s: SparkSession, d: str, **kw) -> DataFrame:
 
 def p2_found(s: SparkSession, d: str) -> DataFrame:
     """Orders of 3 to 5 different activities that at least 5 % of the traces go through."""
-    return _patterns(s, d, shortest=3, longest=5, distinct=True).select(F.array_join("steps", " > ").alias("pattern"))
+    return _patterns(s, d, shortest=3, longest=5, distinct=True, closed=False).select(F.array_join("steps", " > ").alias("pattern"))
 
 
 def p2_closed(s: SparkSession, d: str) -> DataFrame:
@@ -57,6 +57,11 @@ def p2_closed(s: SparkSession, d: str) -> DataFrame:
     return _patterns(s, d).select(F.array_join("steps", " > ").alias("pattern"), "n_traces", "closed")
 
 
+def p2_short(s: SparkSession, d: str) -> DataFrame:
+    """Frequent patterns of up to 3 steps with their supports, closed ones marked."""
+    return _patterns(s, d, longest=3).select(F.array_join("steps", " > ").alias("pattern"), "n_traces", "closed")
+
+
 # 3
 
 
