@@ -1,9 +1,10 @@
+import math
 import random
 
 import pytest
 
 from traceloom.llm.sets import constraint_sets, member_set
-from traceloom.llm.similar import class_pairs, classes, similar_pairs, trees_for
+from traceloom.llm.similar import _copies, class_pairs, classes, similar_pairs, trees_for
 
 
 def _brute(sets, t):
@@ -58,6 +59,18 @@ def test_copies_nulls_and_empty(spark):
 
 def test_trees_grow_with_recall():
     assert trees_for(0.9) < trees_for(0.9999)
+    # the chance that two records part company somewhere on the way, over many levels
+    met = 1.0
+    for _ in range(60):
+        met = 1 - math.exp(-1.6 * met)
+    assert (1 - met) ** trees_for(0.9999, 1.6) <= 1e-4 < (1 - met) ** (trees_for(0.9999, 1.6) - 1)
+
+
+def test_many_copies_in_blocks(spark):
+    rows = [(i, i // 40) for i in range(100)]
+    df = spark.createDataFrame(rows, "id bigint, rep bigint")
+    got = [tuple(r) for r in _copies(df, 7).collect()]
+    assert sorted(got) == sorted((a, b) for a, x in rows for b, y in rows if a < b and x == y)
 
 
 def test_constraint_sets(spark):
