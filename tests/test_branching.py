@@ -4,7 +4,8 @@ import random
 import pytest
 
 from traceloom.operators.branching import covered, merge_or, merge_sets
-from traceloom.plans.mine import Branching, mine
+from traceloom.operators.facts import build_facts
+from traceloom.plans.mine import Branching, mine, rule_rows
 
 #: side bound -> {fixed: (merged, traces)}
 TINY = {
@@ -67,3 +68,52 @@ def test_rare_filter_bound_filter_and_errors(tiny):
     assert mine(tiny, ["first"], branching=Branching("OR", bound=2)).first().merged == "a,b"
     with pytest.raises(ValueError):
         mine(tiny, ["response"], branching=Branching("NAND"))
+
+
+def _explicit(rows, policy, bound):
+    """The greedy merge of one group by its trace sets, operand after operand."""
+    left = sorted(rows)
+    size = lambda c: len(_union(policy, [rows[x] for x in c]))
+    if policy == "OR":
+        while len(left) > bound:
+            own = {x: len(rows[x] - set().union(*(rows[y] for y in left if y != x))) for x in left}
+            left.remove(min(left, key=lambda x: (own[x], x)))
+        return left, size(left)
+    if len(left) == 1:
+        return left, size(left)
+    best = max(itertools.combinations(left, 2), key=lambda c: (size(c), [-ord(y) for x in c for y in x]))
+    return sorted(best), size(best)
+
+
+@pytest.mark.parametrize("policy", ["OR", "AND", "XOR"])
+@pytest.mark.parametrize("side", ["TARGET", "SOURCE"])
+def test_complements_are_branched_as_by_their_rows(spark, policy, side):
+    rnd = random.Random(7)
+    log = [(f"t{i}", rnd.choice("abcde"), p) for i in range(25) for p in range(rnd.randint(1, 4))]
+    df = spark.createDataFrame(log, "trace string, event_type string, pos int").cache()
+    f = build_facts(df, keep=True)
+    for rule in ("co-existence", "not co-existence", "choice", "exclusive choice", "not-succession"):
+        groups: dict = {}
+        for r in rule_rows(f, rule).collect():
+            fixed, operand = (r.event_a, r.event_b) if side == "TARGET" else (r.event_b, r.event_a)
+            groups.setdefault(fixed, {}).setdefault(operand, set()).add(r.trace)
+        want = {k: (",".join(m), n) for k, v in groups.items() for m, n in [_explicit(v, policy, 2)] if n}
+        got = {r.fixed: (r.merged, r.n_traces) for r in mine(df, [rule], branching=Branching(policy, side, 2), facts=f).collect()}
+        assert got == want, rule
+
+
+def test_many_operands_and_the_bound(spark, monkeypatch):
+    import traceloom.operators.branching as m
+
+    rnd = random.Random(2)
+    hist = [(frozenset(rnd.sample(range(400), rnd.randint(1, 60))), rnd.randint(1, 5)) for _ in range(3000)]
+    hist = [(frozenset(f"a{x:03d}" for x in s), n) for s, n in hist]
+    for policy in ("AND", "XOR"):
+        got, n = merge_sets(policy, hist, 3, 0, False)
+        assert len(got) == 3 and n == covered(policy, set(got), hist)
+    got, n = merge_or(hist, 5, 0, 1.5)
+    assert len(got) == 5 and n == covered("OR", set(got), hist)
+    monkeypatch.setattr(m, "MEMBERS", 3)
+    df = spark.createDataFrame([("t", x, i) for i, x in enumerate("abcde")], "trace string, event_type string, pos int")
+    with pytest.raises(ValueError, match="more than 3 members"):
+        mine(df, ["response"], branching=Branching("OR", bound=2))

@@ -78,3 +78,88 @@ def test_cli_run(spark, tmp_path):
     assert "response|a|b|1|0.500" in lines and "first|a|2|1.000" in lines
     branched = run(spark, parse(["-l", str(tmp_path / "log.txt"), "-f", "text", "-o", str(tmp_path), "-p", "or", "-b", "2"]))
     assert "p_OR" not in branched and branched.endswith("b2_pOR.txt")
+
+
+class Stopped(Exception):
+    pass
+
+
+def test_a_stop_between_any_two_steps_loses_nothing(spark, tmp_path):
+    rows = _log(3)
+    first, second = [r for r in rows if r[3] < 4], [r for r in rows if r[3] >= 3]
+    want_first, want = _result(mine(spark.createDataFrame(first, SCHEMA), ["response", "absence"])), _result(mine(spark.createDataFrame(rows, SCHEMA), ["response", "absence"]))
+    folder = str(tmp_path / "s")
+    MiningState(spark, folder).update(spark.createDataFrame(first, SCHEMA))
+    steps: list[str] = []
+
+    class Stops(MiningState):
+        at = -1
+
+        def _at(self, step):
+            steps.append(step)
+            if len(steps) - 1 == self.at:
+                raise Stopped(step)
+
+    k = 0
+    while True:
+        state = Stops(spark, folder)
+        state.at = k
+        steps.clear()
+        try:
+            state.update(spark.createDataFrame(second, SCHEMA))
+            break
+        except Stopped:
+            assert state.version == 1 and _result(state.mine(["response", "absence"])) == want_first
+            k += 1
+    assert k == len(steps) >= 6 and "replaced" in steps
+    state = MiningState(spark, folder)
+    assert state.version == 2 and _result(state.mine(["response", "absence"])) == want
+    state.vacuum(keep=1)
+    assert state.version == 2 and _result(state.mine(["response", "absence"])) == want
+    assert _result(state.log) == _result(spark.createDataFrame(rows, SCHEMA))
+
+
+def test_segments_are_merged_and_only_touched_traces_are_read(spark, tmp_path, monkeypatch):
+    import traceloom.plans.incremental as m
+
+    monkeypatch.setattr(m, "COMPACT", 2)
+    rows = _log(6)
+    state = MiningState(spark, str(tmp_path / "s"))
+    for k in range(4):
+        state.update(spark.createDataFrame([r for r in rows if r[3] % 4 == k], SCHEMA))
+        assert len(state.manifest()["segments"]) <= 2
+    whole = mine(spark.createDataFrame(rows, SCHEMA))
+    assert _result(state.mine()) == _result(whole)
+    by_rows = mine(state.log, facts=state.facts)
+    assert _result(by_rows) == _result(whole)
+
+
+def test_object_store_settings_and_environment():
+    from traceloom.session import object_store, required
+
+    got = object_store("http://store:9000", "k", "s")
+    assert got["spark.hadoop.fs.s3a.endpoint"] == "http://store:9000" and got["spark.hadoop.fs.s3a.path.style.access"] == "true" and got["spark.hadoop.fs.s3a.connection.ssl.enabled"] == "false"
+    assert required("A", {"A": "x"}) == "x"
+    with pytest.raises(ValueError, match="set B"):
+        required("B", {"A": "x"})
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from traceloom.session import at_most, broadcast_if_bounded
+
+    df = spark.range(100).withColumn("s", F.lit("x" * 1000))
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower() or "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(broadcast_if_bounded(df)) and not hinted(broadcast_if_bounded(df, rows=99)) and not hinted(broadcast_if_bounded(df, size=90_000))
+    assert at_most(df, 100, "rows").count() == 100
+    with pytest.raises(Exception, match="more than 99 rows"):
+        at_most(df, 99, "rows").collect()
+
+
+def test_cli_lists(spark, tmp_path):
+    from traceloom.plans.cli import parse, run
+
+    (tmp_path / "log.txt").write_text("t1::a/delab/2024-01-01 00:00:00,b/delab/2024-01-01 01:00:00\nt2::a/delab/2024-01-01 00:00:00\n")
+    lines = [r[0] for r in spark.read.text(run(spark, parse(["-l", str(tmp_path / "log.txt"), "-f", "text", "-o", str(tmp_path), "-s", "0.4", "-i"]))).collect()]
+    assert "response|a|b|t1|0.500" in lines and "first|a|t1,t2|1.000" in lines

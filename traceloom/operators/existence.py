@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.operators.facts import Facts
+from traceloom.session import BROADCAST_ROWS, at_most
 
 RULES = ("exactly", "existence", "absence")
 
@@ -22,8 +23,13 @@ def existence_counts(f: Facts, *rules: str) -> DataFrame:
     observed number, where it holds for all traces. Rows that hold in no trace are left out.
     """
     exact = f.st.groupBy(F.col("event_type").alias("event_a"), F.col("c").alias("instances")).agg(F.count(F.lit(1)).alias("n"))
+    return from_exact(exact, f.n, *rules)
+
+
+def from_exact(exact: DataFrame, n_all: DataFrame, *rules: str) -> DataFrame:
+    """``existence_counts`` from the counts of ``exactly`` ``(event_a, instances, n)`` and the number of traces."""
     w = Window.partitionBy("event_a").orderBy(F.desc("instances"))
-    more = exact.select("event_a", "instances", "n", F.sum("n").over(w).alias("at_least"), (F.row_number().over(w) == 1).alias("top")).crossJoin(F.broadcast(f.n))
+    more = exact.select("event_a", "instances", "n", F.sum("n").over(w).alias("at_least"), (F.row_number().over(w) == 1).alias("top")).crossJoin(F.broadcast(n_all))
     item = lambda rule, k, n: F.struct(F.lit(rule).alias("rule"), k.alias("instances"), n.alias("n_traces"))
     k = F.col("instances")
     items = {
@@ -46,7 +52,7 @@ def existence_rows(f: Facts, rule: str) -> DataFrame:
             got = have.join(marks, "event_a").where("instances >= k").select("event_a", F.col("k").alias("instances"), "trace")
         else:
             marks = marks.unionByName(have.groupBy("event_a").agg((F.max("instances") + 1).alias("k")))
-            every = F.broadcast(marks).crossJoin(f.traces)
+            every = F.broadcast(at_most(marks, BROADCAST_ROWS, "numbers of occurrences of activities")).crossJoin(f.traces)
             got = (
                 every.join(have, ["event_a", "trace"], "left").where("instances is null or instances < k").select("event_a", F.col("k").alias("instances"), "trace")
             )

@@ -11,33 +11,32 @@ from traceloom.operators.neighbours import with_neighbours
 from traceloom.session import materialize
 
 
+def events_of(log: DataFrame) -> DataFrame:
+    """``(trace, event_type, pos)`` of a log; events with a null among them are left out."""
+    return log.select("trace", "event_type", "pos").where(F.col("trace").isNotNull() & F.col("event_type").isNotNull() & F.col("pos").isNotNull())
+
+
 def occurrences(log: DataFrame) -> DataFrame:
     """Each event with the types before and after it (``prev_event_type``, ``next_event_type``) in its trace.
 
     ``log`` has ``trace, event_type, pos`` with ``pos`` unique within a trace; events with a null among them are left out.
     """
-    rows = log.select("trace", "event_type", "pos").where(F.col("trace").isNotNull() & F.col("event_type").isNotNull() & F.col("pos").isNotNull())
-    return with_neighbours(rows, ["trace"], "pos", ["event_type"])
+    return with_neighbours(events_of(log), ["trace"], "pos", ["event_type"])
 
 
 def trace_types(occ: DataFrame) -> DataFrame:
-    """One row per (trace, type): count, first and last position, and whether one type always follows or precedes it."""
-    return occ.groupBy("trace", "event_type").agg(
-        F.count(F.lit(1)).alias("c"),
-        F.min("pos").alias("mn"),
-        F.max("pos").alias("mx"),
-        F.count("next_event_type").alias("n_next"),
-        F.min("next_event_type").alias("min_next"),
-        F.max("next_event_type").alias("max_next"),
-        F.count("prev_event_type").alias("n_prev"),
-        F.min("prev_event_type").alias("min_prev"),
-        F.max("prev_event_type").alias("max_prev"),
-    )
+    """One row per (trace, type): count, first and last position; of events with neighbours also whether one type always follows or precedes it."""
+    own = [F.count(F.lit(1)).alias("c"), F.min("pos").alias("mn"), F.max("pos").alias("mx")]
+    if "next_event_type" in occ.columns:
+        for side in ("next", "prev"):
+            other = F.col(f"{side}_event_type")
+            own += [F.count(other).alias(f"n_{side}"), F.min(other).alias(f"min_{side}"), F.max(other).alias(f"max_{side}")]
+    return occ.groupBy("trace", "event_type").agg(*own)
 
 
 @dataclass
 class Facts:
-    """``occ``: events with neighbours; ``st``: per trace and type; ``traces``: the trace universe; ``types``: the activities.
+    """``occ``: events, with neighbours if any rule asks for them; ``st``: per trace and type; ``traces``: the trace universe; ``types``: the activities.
 
     ``kept``: the tables are stored; what several rules derive from them is stored too (in ``memo``).
     """
@@ -69,9 +68,9 @@ class Facts:
         return self.once("n", lambda: self.st.agg(F.countDistinct("trace").alias("n_all")))
 
 
-def build_facts(log: DataFrame, keep: bool = False) -> Facts:
-    """The facts of a log. ``keep`` stores both tables, for several rules to be computed from them."""
-    occ = occurrences(log)
+def build_facts(log: DataFrame, keep: bool = False, neighbours: bool = True) -> Facts:
+    """The facts of a log. ``keep`` stores both tables, for several rules to be computed from them; only chain rules need ``neighbours``."""
+    occ = occurrences(log) if neighbours else events_of(log)
     if not keep:
         return Facts(occ, trace_types(occ))
     occ = materialize(occ)

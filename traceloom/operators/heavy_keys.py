@@ -17,16 +17,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.session import materialize
+from traceloom.session import broadcast_if_bounded, materialize
 
 #: Members per list in ``key_lists``: bounds the size of a row, not of a key.
 LIST_SIZE = 10_000
 
 
 def _parted(df: DataFrame, keys: list[str], order: str, partitions: int | None) -> DataFrame:
-    """Only a salt makes equal (key, order) rows divisible: a single pair may itself hold most rows."""
+    """Only a salt makes equal (key, order) rows divisible: a single pair may itself hold most rows, and is then cut into as many pieces as partitions."""
     n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    salted = df.select(*keys, order).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("tinyint"))
+    salted = df.select(*keys, order).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
     return salted.repartitionByRange(n, *keys, order, "_salt").sortWithinPartitions(*keys, order).drop("_salt")
 
 
@@ -176,7 +176,7 @@ def key_lists(df: DataFrame, keys: list[str], order: str, size: int = LIST_SIZE,
     ends = ends.groupBy(*keys, "part").agg(F.min_by("_f", "part_no").alias("_f"), F.max_by("_l", "part_no").alias("_l"))
     again = ends.withColumn("_p", F.lag("_l").over(Window.partitionBy(*keys).orderBy("part"))).where(F.col("_f") == F.col("_p"))
     marks = again.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("part").alias("_part"))
-    marks = F.broadcast(materialize(marks))  # at most one row per partition: only its first key can go on from the one before
+    marks = broadcast_if_bounded(materialize(marks))  # at most one row per partition: only its first key can go on from the one before
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     on = reduce(lambda x, y: x & y, [*same, F.col("part") == F.col("_part"), F.col("part_no") == 0])
     cut = F.when(F.col("_part").isNull(), F.col("values")).otherwise(F.expr("slice(values, 2, greatest(size(values) - 1, 0))"))
@@ -188,7 +188,7 @@ def heavy_keys(df: DataFrame, group: list[str], key: str, order: str, share: flo
     counts = materialize(key_counts(df.where(F.col(key).isNotNull()), [*group, key], order, partitions))
     total = counts.groupBy(*group).agg(F.sum("n_rows").alias("_total"))
     return (
-        counts.join(F.broadcast(total), group)  # one row per group
+        counts.join(total, group)
         .withColumn("share", F.col("n_rows") / F.col("_total"))
         .where(F.col("n_rows") >= F.lit(share) * F.col("_total"))
         .select(*group, key, "n_rows", "n_values", "share")

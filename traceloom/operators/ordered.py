@@ -7,18 +7,21 @@ gap after the last A included) hold a B. Gaps before Bs that hold an A are equal
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.operators import blocks
 from traceloom.operators.facts import Facts
+from traceloom.session import ACTIVITIES, at_most
 
 RULES = (
     "response", "precedence", "succession", "alternate-response", "alternate-precedence", "alternate-succession",
     "chain-response", "chain-precedence", "chain-succession", "not-succession", "not-chain-succession",
 )
 
-#: Longer traces are not joined with themselves: their last positions per type are carried along instead.
-LONG_TRACE = 256
+def alternations(f: Facts, block: int = blocks.BLOCK, span: int = blocks.SPAN) -> DataFrame:
+    """``(event_a, event_b, trace, g)`` for A other than B and g > 0; see ``blocks.alternations``."""
+    return blocks.alternations(f.occ, block, span)
 
 
 def _pairs(f: Facts) -> DataFrame:
@@ -27,35 +30,6 @@ def _pairs(f: Facts) -> DataFrame:
     return x.join(y, "trace")
 
 
-def alternations(f: Facts, long_trace: int = LONG_TRACE) -> DataFrame:
-    """``(event_a, event_b, trace, g)`` for A other than B and g > 0.
-
-    A gap is counted by its first B: the B whose nearest A before it comes after the previous B. Short traces find that A by a self-join on
-    the trace; in long ones (a few traces may hold most events) each event meets each type of its trace once, and a running maximum per
-    (trace, type) gives the nearest A, so the work is events times types instead of events squared, spread over types.
-    """
-    lengths = f.st.groupBy("trace").agg(F.sum("c").alias("_n"))
-    long = lengths.where(F.col("_n") > long_trace).select("trace")
-    ev = f.occ.select("trace", "event_type", "pos")
-    w = Window.partitionBy("trace", "event_type").orderBy("pos")
-    mine = ev.withColumn("pp", F.lag("pos").over(w))
-    short_ev = mine.join(long, "trace", "left_anti").withColumn("np", F.lead("pos").over(w))
-    x = short_ev.select("trace", F.col("event_type").alias("event_a"), F.col("pos").alias("p"), "np")
-    y = short_ev.select("trace", F.col("event_type").alias("event_b"), F.col("pos").alias("q"), F.col("pp").alias("pq"))
-    near = x.join(y, "trace").where("event_a <> event_b and p < q and (np is null or q < np) and (pq is null or pq < p)")
-    short_g = near.groupBy("event_a", "event_b", "trace").agg(F.count(F.lit(1)).alias("g"))
-
-    # in a long trace: only the last event of a stretch of A before each B matters
-    long_ev = mine.join(long, "trace")
-    kinds = f.st.select("trace", F.col("event_type").alias("event_a"))
-    grid = long_ev.join(kinds, "trace")
-    back = Window.partitionBy("trace", "event_a").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    seen = grid.withColumn("last_a", F.max(F.when(F.col("event_type") == F.col("event_a"), F.col("pos"))).over(back))
-    first_b = seen.where("event_type <> event_a and last_a is not null and (pp is null or pp < last_a)")
-    long_g = first_b.groupBy("event_a", F.col("event_type").alias("event_b"), "trace").agg(F.count(F.lit(1)).alias("g"))
-    return short_g.unionByName(long_g)
-
-
 def ordered_rows(f: Facts, rule: str) -> DataFrame:
     """``(rule, event_a, event_b, trace)``: the traces in which the rule holds for the pair.
 
@@ -86,7 +60,7 @@ def ordered_rows(f: Facts, rule: str) -> DataFrame:
         got = ordered_rows(f, "alternate-response").join(_chain_response(f), cols, "left_anti")
     elif rule == "not-succession":
         held = ordered_rows(f, "response").select(*cols)
-        every = f.traces.crossJoin(F.broadcast(held.select("event_a", "event_b").distinct()))
+        every = f.traces.crossJoin(F.broadcast(at_most(held.select("event_a", "event_b").distinct(), ACTIVITIES * 10, "pairs of activities")))
         got = every.join(held, cols, "left_anti")
     else:
         raise ValueError(f"unknown ordered rule {rule}")
@@ -118,10 +92,11 @@ FLAGS = {
 }
 
 
-def pair_table(f: Facts, alternate: bool = True) -> DataFrame:
+def pair_table(f: Facts, alternate: bool = True, chain: bool = True) -> DataFrame:
     """``(event_a, event_b, trace, prec, alt_r, alt_p, ch_r, ch_p)`` of all pairs with a response: every ordered rule implies one."""
-    x = f.st.selectExpr("trace", "event_type as event_a", "c as c_a", "mn as mn_a", "case when n_next = c and min_next = max_next then min_next end as only_next")
-    y = f.st.selectExpr("trace", "event_type as event_b", "c as c_b", "mn as mn_b", "mx as mx_b", "case when n_prev = c and min_prev = max_prev then min_prev end as only_prev")
+    only = lambda side: f"case when n_{side} = c and min_{side} = max_{side} then min_{side} end" if chain else "cast(null as string)"
+    x = f.st.selectExpr("trace", "event_type as event_a", "c as c_a", "mn as mn_a", f"{only('next')} as only_next")
+    y = f.st.selectExpr("trace", "event_type as event_b", "c as c_b", "mn as mn_b", "mx as mx_b", f"{only('prev')} as only_prev")
     rows = x.join(y, "trace").where("mn_a < mx_b")
     differ = F.col("event_a") != F.col("event_b")
     if alternate:
@@ -136,6 +111,11 @@ def pair_table(f: Facts, alternate: bool = True) -> DataFrame:
     )
 
 
+def pairs_for(f: Facts, rules) -> DataFrame:
+    """``pair_table`` with what the rules need."""
+    return pair_table(f, any("alt" in FLAGS[r] for r in rules), any("ch_" in FLAGS[r] for r in rules))
+
+
 def ordered_counts(f: Facts, *rules: str) -> DataFrame:
     """``(rule, event_a, event_b, n_traces)`` of the rules, all from one pass over the pairs.
 
@@ -144,9 +124,8 @@ def ordered_counts(f: Facts, *rules: str) -> DataFrame:
     base = [r for r in rules if r in FLAGS]
     if "not-succession" in rules and "response" not in base:
         base.append("response")
-    alternate = any("alt" in FLAGS[r] for r in base)
     sums = [F.count_if(F.expr(FLAGS[r])).alias(f"_{i}") for i, r in enumerate(base)]
-    wide = pair_table(f, alternate).groupBy("event_a", "event_b").agg(*sums).crossJoin(F.broadcast(f.n))
+    wide = pairs_for(f, base).groupBy("event_a", "event_b").agg(*sums).crossJoin(F.broadcast(f.n))
     items = [F.struct(F.lit(r).alias("rule"), F.col(f"_{i}").alias("n_traces")) for i, r in enumerate(base) if r in rules]
     if "not-succession" in rules:
         items.append(F.struct(F.lit("not-succession").alias("rule"), (F.col("n_all") - F.col(f"_{base.index('response')}")).alias("n_traces")))

@@ -82,18 +82,19 @@ def mine(log: DataFrame, rules: list[str] | None = None, support: float = 0.0, b
     ``merged`` joins the merged activities with commas; of the existence rules only ``exactly`` is branched, always by SOURCE.
     """
     chosen = list(rules or ALL_RULES)
-    f = facts or build_facts(log, keep=len(chosen) > SEVERAL)
+    f = facts or build_facts(log, keep=len(chosen) > SEVERAL, neighbours=any("chain" in r for r in chosen))
     if branching is None or not branching.policy:
         return with_support(rule_counts(f, *chosen), f, support)
-    from traceloom.operators.branching import branch
+    from traceloom.operators.branching import branch, complements
 
     parts = []
     for r in chosen:
         if family(r) == "existence" and r != "exactly":
             continue
         side = "SOURCE" if family(r) == "existence" else branching.side
-        base = ordered_base(f, r)
-        parts.append(branch(rule_rows(f, r), f, branching, support, side=side, base=base))
+        condensed = complements(f, r, side) if r in unordered.HOLDS or r == "not-succession" else None
+        rows = rule_rows(f, r) if condensed is None else None
+        parts.append(branch(rows, f, branching, support, side=side, base=ordered_base(f, r), condensed=condensed))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.operators.heavy_keys import LIST_SIZE, key_lists
+
 
 def report_lines(mined: DataFrame) -> DataFrame:
     """``(line)`` of an unbranched or branched result: ``rule|operand[|operand]|n_traces|support`` with three decimals."""
@@ -15,10 +17,17 @@ def report_lines(mined: DataFrame) -> DataFrame:
     return mined.select(F.concat_ws("|", "rule", operands, F.col("n_traces").cast("string"), F.format_string("%.3f", "support")).alias("line"))
 
 
-def trace_lines(rows: DataFrame, n_all: int) -> DataFrame:
-    """``(line)`` with the trace ids in it: ``rule|operands|t1,t2,…|support``. For logs whose trace lists fit a line each."""
-    lists = rows.groupBy("rule", "event_a", "event_b").agg(F.array_sort(F.collect_set("trace")).alias("t"))
-    return lists.select(F.concat_ws("|", "rule", "event_a", "event_b", F.array_join("t", ","), F.format_string("%.3f", F.size("t") / F.lit(n_all))).alias("line"))
+def trace_lines(rows: DataFrame, n_all: int, size: int = LIST_SIZE) -> DataFrame:
+    """``(line)`` with the trace ids in it: ``rule|operands|t1,t2,…|support``, from rule rows ``(rule, event_a, event_b, trace)``.
+
+    Rows are range-partitioned by rule, operands and trace; a rule that holds in more than ``size`` traces, or at the border of a partition, goes on in
+    further lines of the same operands and support, so no line holds an unbounded list.
+    """
+    keys = ["rule", "event_a", "event_b"]
+    pieces = key_lists(rows, keys, "trace", size)
+    total = pieces.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum(F.size("values")).alias("_n"))
+    both = pieces.join(total, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return both.select(F.concat_ws("|", *keys, F.array_join("values", ","), F.format_string("%.3f", F.col("_n") / F.lit(n_all))).alias("line"))
 
 
 def report_name(log: str, support: float, bound: int, policy: str | None) -> str:

@@ -7,6 +7,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from traceloom.operators.blocks import every_pair, nearest_before
+
 LOG_SCHEMA = "trace string, event_type string, ts timestamp_ntz, pos int"
 
 
@@ -67,11 +69,12 @@ def pair_index(log: DataFrame) -> DataFrame:
 
     One row per event and activity before it, not one per pair of events.
     """
-    types = log.select("trace", F.col("event_type").alias("event_a")).distinct()
-    grid = log.select("trace", "event_type", "pos").join(types, "trace")
-    back = Window.partitionBy("trace", "event_a").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    seen = grid.withColumn("pos_a", F.max(F.when(F.col("event_type") == F.col("event_a"), F.col("pos"))).over(back))
-    return seen.where("pos_a is not null").select("event_a", F.col("event_type").alias("event_b"), "trace", "pos_a", F.col("pos").alias("pos_b"))
+    return nearest_before(log)
+
+
+def full_pair_index(log: DataFrame) -> DataFrame:
+    """``(event_a, event_b, trace, pos_a, pos_b)`` of every two events of a trace with pos_a < pos_b; as large as the pairs of events."""
+    return every_pair(log)
 
 
 def read_xes(spark: SparkSession, path: str) -> DataFrame:
@@ -85,6 +88,21 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("trace", named("e.string", "concept:name").alias("event_type"), F.to_timestamp_ntz(F.date_format(time, "yyyy-MM-dd HH:mm:ss.SSS")).alias("ts"), F.col("pos").cast("int").alias("pos"))
 
 
+def write_xes(log: DataFrame, path: str) -> None:
+    """A log as ``read_xes`` reads it. A trace is one element, so this is for logs of ordinary traces."""
+    attr = lambda key, value: F.array(F.struct(F.lit(key).alias("_key"), value.alias("_value")))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    event = F.struct(attr("concept:name", F.col("event_type")).alias("string"), F.when(F.col("ts").isNotNull(), attr("time:timestamp", time)).alias("date"))
+    traces = log.groupBy("trace").agg(F.sort_array(F.collect_list(F.struct("pos", event.alias("e")))).alias("s"))
+    rows = traces.select(attr("concept:name", F.col("trace")).alias("string"), F.col("s.e").alias("event"))
+    rows.write.mode("overwrite").format("xml").option("rootTag", "log").option("rowTag", "trace").save(path)
+
+
+def write_sequence(log: DataFrame, path: str) -> None:
+    """A log as ``read_sequence`` reads it."""
+    log.select(F.col("trace").alias("trace_id"), F.col("ts").cast("string").alias("timestamp"), "event_type", F.col("pos").alias("position")).write.mode("overwrite").parquet(path)
+
+
 def read_with_timestamp(spark: SparkSession, path: str) -> DataFrame:
     """Text logs, one trace a line: ``trace::event/delab/yyyy-MM-dd HH:mm:ss,event/delab/…``."""
     lines = spark.read.text(path).where(F.col("value").contains("::"))
