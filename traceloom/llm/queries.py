@@ -124,6 +124,14 @@ def p5_unions(s: SparkSession, d: str) -> DataFrame:
     return out.withColumn("error_bound", F.lit(distinct.ERROR_BOUND)).select("rule", "mined_day", "n_distinct", "error_bound")
 
 
+def p5_within(s: SparkSession, d: str) -> DataFrame:
+    """The estimates of ``p5_unions`` held against exact counts: whether each is within the error bound."""
+    rows = _members(s, d).dropna(subset=["rule", "mined_day"])
+    exact = rows.cube("rule", "mined_day").agg(F.countDistinct("trace").alias("_n")).select(F.col("rule").alias("_r"), F.col("mined_day").alias("_d"), "_n")
+    both = p5_unions(s, d).join(exact, F.col("rule").eqNullSafe(F.col("_r")) & F.col("mined_day").eqNullSafe(F.col("_d")), "full")
+    return both.select(F.col("_r").alias("rule"), F.col("_d").alias("mined_day"), F.coalesce(F.abs(F.col("n_distinct") / F.col("_n") - 1) <= F.col("error_bound"), F.lit(False)).alias("within"))
+
+
 # 7
 
 

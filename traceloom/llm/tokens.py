@@ -11,13 +11,15 @@ tokens one at a time and gives out characters as they are complete.
 from __future__ import annotations
 
 import base64
+import os
 from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -225,12 +227,20 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str = VOCABULARY) -> Encoder:
-    """The worker's encoder of a vocabulary; it keeps what it has learned from task to task."""
+    """The worker's encoder of a vocabulary; it keeps what it has learned from task to task. Where the machine has no such file, the one sent by ``_send`` is read."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(load_ranks(path))
+        here = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+        _ENCODERS[path] = Encoder(load_ranks(here))
     return _ENCODERS[path]
 
 
+def _send(spark: SparkSession, path: str) -> None:
+    """On a cluster the driver's vocabulary file goes to all workers, once."""
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") and os.path.exists(path) and not any(os.path.basename(x) == os.path.basename(path) for x in sc.listFiles):
+        sc.addFile(path)
+
+
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """``(key, ids)``: one row per row of ``docs`` with the ids of its text exactly as stored, without special tokens.
 
@@ -239,6 +249,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
     """
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+    _send(docs.sparkSession, path)
     kept = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     schema = StructType([StructField(key, kept.schema["_key"].dataType), StructField("ids", ArrayType(IntegerType()))])
 
@@ -268,6 +279,7 @@ def _lists(keys: pa.Array, flat: array, ends: array, key: str) -> pa.RecordBatch
 
 def decoded(encoded: DataFrame, key: str = "doc_id", path: str = VOCABULARY) -> DataFrame:
     """``(key, text)`` of rows ``(key, ids)``; a null list gives a null text."""
+    _send(encoded.sparkSession, path)
     schema = encoded.select(F.col(key), F.lit("").alias("text")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
