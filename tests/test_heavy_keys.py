@@ -37,3 +37,15 @@ def test_empty(spark):
 def test_other_types(spark):
     df = spark.createDataFrame([(1, 2.5), (1, 2.5), (1, 3.5), (2, None)], "k bigint, v double")
     assert sorted(map(tuple, key_counts(df, ["k"], "v", 3).collect())) == [(1, 3, 2), (2, 1, 0)]
+
+
+def test_one_pair_of_key_and_value_with_most_rows(spark):
+    """More partitions than any fixed salt would fill."""
+    from pyspark.sql import functions as F
+
+    from traceloom.operators.heavy_keys import _parted
+
+    df = spark.range(200_000).selectExpr("'k' as k", "if(id % 50 = 0, cast(id as string), 'v') as v")
+    spread = _parted(df, ["k"], "v", 150).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) > 120 and max(r["count"] for r in spread) < 6_000
+    assert [tuple(r) for r in key_counts(df, ["k"], "v", 150).collect()] == [("k", 200_000, 4_001)]

@@ -20,14 +20,17 @@ def report_lines(mined: DataFrame) -> DataFrame:
 def trace_lines(rows: DataFrame, n_all: int, size: int = LIST_SIZE) -> DataFrame:
     """``(line)`` with the trace ids in it: ``rule|operands|t1,t2,…|support``, from rule rows ``(rule, event_a, event_b, trace)``.
 
-    Rows are range-partitioned by rule, operands and trace; a rule that holds in more than ``size`` traces, or at the border of a partition, goes on in
-    further lines of the same operands and support, so no line holds an unbounded list.
+    Rows are range-partitioned by rule, operands and trace; a rule that holds in more than ``size`` traces goes on in further lines of the same operands and
+    support, so no line holds an unbounded list.
     """
     keys = ["rule", "event_a", "event_b"]
     pieces = key_lists(rows, keys, "trace", size)
     total = pieces.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum(F.size("values")).alias("_n"))
-    both = pieces.join(total, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return both.select(F.concat_ws("|", *keys, F.array_join("values", ","), F.format_string("%.3f", F.col("_n") / F.lit(n_all))).alias("line"))
+    both = pieces.join(total, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, "_n", "part", "part_no", "values")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("part", "part_no", "values"))), lambda x: x["values"])
+    short = both.where(F.col("_n") <= size).groupBy(*keys, "_n").agg(F.flatten(listed).alias("values"))  # cut by the borders of partitions only
+    every = short.unionByName(both.where(F.col("_n") > size).drop("part", "part_no"))
+    return every.select(F.concat_ws("|", *keys, F.array_join("values", ","), F.format_string("%.3f", F.col("_n") / F.lit(n_all))).alias("line"))
 
 
 def report_name(log: str, support: float, bound: int, policy: str | None) -> str:

@@ -14,7 +14,7 @@ from traceloom.operators.facts import build_facts
 from traceloom.operators.heavy_keys import heavy_keys, key_counts, key_lists
 from traceloom.plans import incremental
 from traceloom.plans.mine import Branching, mine, rule_counts, rule_rows, with_support
-from traceloom.plans.report import report_lines
+from traceloom.plans.report import report_lines, trace_lines
 from traceloom.sources import cleaned, logs
 
 CUT = "2024-01-20 12:00:00"
@@ -23,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _support(rule: str) -> Query:
     def q(spark: SparkSession, d: str) -> DataFrame:
-        f = build_facts(logs.events_user_day(spark, d))
+        f = build_facts(logs.events_user_day(spark, d), neighbours="chain" in rule)
         if rule in position.RULES:
             return with_support(rule_counts(f, rule), f).select("rule", "event_a", "n_traces", "support")
         if rule in existence.RULES:
@@ -83,8 +83,12 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 def p6_lists(spark: SparkSession, d: str) -> DataFrame:
     """The trace lists of each activity, cut into pieces of bounded size: pieces' sizes and a checksum of their members."""
     pieces = key_lists(_fields(spark, d), ["field", "event_type"], "trace")
+    summed = F.aggregate("values", F.lit(0).cast("bigint"), lambda s, x: s + F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint"))
     return pieces.groupBy("field", "event_type").agg(
-        F.sum(F.size("values")).cast("bigint").alias("n_traces"), F.min(F.element_at("values", 1)).alias("first_trace"), F.max(F.element_at("values", -1)).alias("last_trace")
+        F.sum(F.size("values")).cast("bigint").alias("n_traces"),
+        F.min(F.element_at("values", 1)).alias("first_trace"),
+        F.max(F.element_at("values", -1)).alias("last_trace"),
+        F.sum(summed).alias("checksum"),
     )
 
 
@@ -100,8 +104,92 @@ def mine_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return mine(log, support=0.02)
 
 
-#: The rules in the SQL twin of ``mine_cleaned``; the query itself gives all.
-MINED = ["first", "last", "exactly", "existence", "responded existence", *(r for r in ordered.RULES if r != "not-succession")]
+def branched_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The two activities that most traces of the raw event log, cleaned, lead to from each activity, above 2 % of the traces."""
+    log = cleaned.cleaned_log(spark.read.parquet(f"{d}/event_seq.parquet"), spark.read.parquet(f"{d}/activity.parquet"))
+    return mine(log, ["response"], support=0.02, branching=Branching("AND", "TARGET", 2))
+
+
+# ---- readers, writers and runs
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    from traceloom.session import scratch_dir
+
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _written_log(write: Callable, read: Callable) -> Query:
+    """The user-day log, written in a format and read from it."""
+
+    def q(spark: SparkSession, d: str) -> DataFrame:
+        path = _folder(spark, "log")
+        write(logs.events_user_day(spark, d), path)
+        return read(spark, path).select("trace", "event_type", "pos", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("second"))
+
+    return q
+
+
+def stored_single_index(spark: SparkSession, d: str) -> DataFrame:
+    """The activity index as it is stored, read by its reader."""
+    path = _folder(spark, "single")
+    logs.single_index(logs.events_user_day(spark, d)).withColumnRenamed("trace", "trace_id").write.parquet(path)
+    return logs.read_single_index(spark, path)
+
+
+def stored_pair_index(spark: SparkSession, d: str) -> DataFrame:
+    """The pair index of all pairs of events, stored and read by its reader, per pair of activities."""
+    path = _folder(spark, "pairs")
+    pairs = logs.full_pair_index(logs.events_user_day(spark, d))
+    pairs.selectExpr("event_a as eventA", "event_b as eventB", "trace as trace_id", "pos_a as positionA", "pos_b as positionB").write.parquet(path)
+    return logs.read_pair_index(spark, path).groupBy("event_a", "event_b").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("pos_a").alias("sum_a"), F.sum("pos_b").alias("sum_b"))
+
+
+def stored_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What is remembered of a log, written and read."""
+    path = _folder(spark, "meta")
+    got = logs.events_user_day(spark, d).agg(F.countDistinct("trace").alias("t"), F.count(F.lit(1)).alias("e"), F.max("ts").cast("string").alias("m")).first()
+    logs.write_metadata(spark, logs.RunMetadata("user-day", got.t, got.e, last_declare_mined=got.m), path)
+    back = logs.read_metadata(spark, path)
+    return spark.createDataFrame([(back.log_name, back.traces, back.events, back.last_declare_mined[:19])], "log_name string, traces bigint, events bigint, last_mined string")
+
+
+def _state(spark: SparkSession, d: str, hard: bool) -> incremental.MiningState:
+    log = logs.events_user_day(spark, d)
+    cut = F.to_timestamp_ntz(F.lit(CUT))
+    state = incremental.MiningState(spark, _folder(spark, "state"))
+    state.update(log.where(F.col("ts") <= cut))
+    state.update(log.where(F.col("ts") > cut), hard=hard)
+    return state
+
+
+def watermark(spark: SparkSession, d: str) -> DataFrame:
+    """Traces, events and the latest time of the state after two batches."""
+    got = _state(spark, d, False).metadata
+    return spark.createDataFrame([(got.traces, got.events, got.last_declare_mined[:19])], "traces bigint, events bigint, last_mined string")
+
+
+def hard_run(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches, the second with every trace mined afresh."""
+    return _state(spark, d, True).mine()
+
+
+def command_line(spark: SparkSession, d: str) -> DataFrame:
+    """The report that the command line writes of the stored log."""
+    from traceloom.plans.cli import parse, run
+
+    path = _folder(spark, "cli")
+    logs.write_sequence(logs.events_user_day(spark, d), f"{path}/log")
+    return spark.read.text(run(spark, parse(["-l", f"{path}/log", "-s", "0.05", "-o", path]))).select(F.col("value").alias("line"))
+
+
+def report_with_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Report lines of precedence with the ids of the traces, long lists in pieces put together again."""
+    f = build_facts(logs.events_user_day(spark, d), keep=True, neighbours=False)
+    lines = trace_lines(rule_rows(f, "precedence"), f.n.first()[0])
+    parts = F.split("line", r"\|")
+    pieces = lines.select(*[parts[i].alias(n) for i, n in enumerate(("rule", "event_a", "event_b"))], F.explode(F.split(parts[3], ",")).alias("trace"), parts[4].alias("share"))
+    return pieces.groupBy("rule", "event_a", "event_b", "share").agg(F.count(F.lit(1)).alias("n_traces"), F.min("trace").alias("first_trace"), F.max("trace").alias("last_trace"))
 
 
 def queries() -> dict[str, Query]:
@@ -111,15 +199,15 @@ def queries() -> dict[str, Query]:
         out[rule.replace(" ", "_").replace("-", "_")] = _support(rule)
     out |= {
         "type_occurrences": lambda s, d: incremental.type_occurrences(ud(s, d)),
-        "distinct_traces": lambda s, d: build_facts(ud(s, d)).n.select(F.col("n_all").alias("n_traces")),
+        "distinct_traces": lambda s, d: build_facts(ud(s, d), neighbours=False).n.select(F.col("n_all").alias("n_traces")),
         "single_index": lambda s, d: logs.single_index(ud(s, d)),
         "pair_index": lambda s, d: logs.pair_index(ud(s, d)).groupBy("event_a", "event_b").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("pos_a").alias("sum_a"), F.sum("pos_b").alias("sum_b")),
-        "activity_matrix": lambda s, d: unordered.pair_counts(build_facts(ud(s, d))).select("event_a", "event_b", "n_a", "n_b", "n_ab"),
+        "activity_matrix": lambda s, d: unordered.pair_counts(build_facts(ud(s, d), neighbours=False)).select("event_a", "event_b", "n_a", "n_b", "n_ab"),
         "new_events": lambda s, d: incremental.new_events(ud(s, d), CUT).select("trace", "event_type", "pos"),
         "trace_bounds": lambda s, d: incremental.trace_bounds(incremental.new_events(ud(s, d), CUT)),
         "affected_events": lambda s, d: incremental.affected_events(ud(s, d), incremental.trace_bounds(incremental.new_events(ud(s, d), CUT))).select("trace", "event_type", "pos"),
         "replaced_rows": _replaced_rows,
-        "rule_rows_response": lambda s, d: rule_rows(build_facts(ud(s, d)), "response"),
+        "rule_rows_response": lambda s, d: rule_rows(build_facts(ud(s, d), neighbours=False), "response"),
         "all_constraints": lambda s, d: mine(ud(s, d)),
         "threshold_10_percent": lambda s, d: mine(ud(s, d), list(ordered.RULES), support=0.1),
         "customer_orders_response": lambda s, d: mine(logs.orders_customer(s, d), ["response", "alternate-response", "alternate-precedence"]),
@@ -131,6 +219,17 @@ def queries() -> dict[str, Query]:
         "text_report": lambda s, d: report_lines(mine(ud(s, d))),
         "cleaned_log": cleaned_query,
         "mine_cleaned_log": mine_cleaned,
+        "branched_cleaned_log": branched_cleaned,
+        "text_log": _written_log(logs.write_with_timestamp, logs.read_with_timestamp),
+        "xes_log": _written_log(logs.write_xes, logs.read_xes),
+        "sequence_log": _written_log(logs.write_sequence, logs.read_sequence),
+        "stored_single_index": stored_single_index,
+        "stored_pair_index": stored_pair_index,
+        "stored_metadata": stored_metadata,
+        "watermark": watermark,
+        "hard_run": hard_run,
+        "command_line": command_line,
+        "report_with_traces": report_with_traces,
         "p6_found": p6_found,
         "p6_counts": p6_counts,
         "p6_lists": p6_lists,
@@ -142,7 +241,12 @@ def queries() -> dict[str, Query]:
         out[f"{policy.lower()}_target_b3"] = _branched(policy, bound=3)
     out["chain_and_b2"] = _branched("AND", rule="chain-response")
     out["chain_xor_b2"] = _branched("XOR", rule="chain-response")
+    out["chain_and_source_b2"] = _branched("AND", "SOURCE", rule="chain-response")
+    out["chain_xor_source_b2"] = _branched("XOR", "SOURCE", rule="chain-response")
     out["chain_and_unbounded"] = _branched("AND", bound=0, rule="chain-response")
+    out["chain_xor_unbounded"] = _branched("XOR", bound=0, rule="chain-response")
+    out["choice_and_b2"] = _branched("AND", rule="choice")
+    out["not_succession_xor_b2"] = _branched("XOR", rule="not-succession")
     out["rare_filter_and_b2"] = _branched("AND", drop_rare=True)
     out["exact_bound_or_b3"] = _branched("OR", bound=3, exact_bound=True)
     out["exactly_source_or_b2"] = _branched("OR", rule="exactly")
@@ -297,14 +401,36 @@ fin as (select f, list(distinct o) as m, count(distinct t) as k from r2 where f
   union all select f, list(distinct o) as m, count(distinct t) as k from r3 where f not in (select f from early) group by f) {_branch_out(side, rule, "fin")}"""
 
 
-def _chain_branch_sql(policy: str, rule: str = "chain-response", base: str = "response") -> str:
-    """Two operands: one of the chain rule and one that the base rule leads to from it."""
-    return f"""with {USER_DAY}, r as (select a as f, b as o, t from ({ROWS[rule]})), l as ({ROWS[base]}),
+def _chain_branch_sql(policy: str, side: str = "TARGET", bound: int = 2, rule: str = "chain-response", base: str = "response", rounds: int = 6) -> str:
+    """From an operand of the chain rule along the rows of the base rule, one step a round. bound 0: as long as an added activity keeps all traces."""
+    f, o = ("a", "b") if side == "TARGET" else ("b", "a")
+    sql = f"""with {USER_DAY}, r as materialized (select distinct {f} as f, {o} as o, t from ({ROWS[rule]})), l as materialized (select distinct a, b, t from ({ROWS[base]})), lo as (select distinct a, b from l),
 one as (select f, [min(o)] as m, count(*) as k from r group by f having count(distinct o) = 1),
-x as (select f, o, count(*) as n from r where f not in (select f from one) group by f, o), y as (select a, b, count(*) as n from l group by a, b),
-z as (select r.f, r.o, l.b, count(*) as n from r join l on l.a = r.o and l.t = r.t group by 1, 2, 3),
-c as (select x.f, case when x.o = y.b then [x.o] else [x.o, y.b] end as m, {"coalesce(z.n, 0)" if policy == "AND" else "x.n + y.n - 2 * coalesce(z.n, 0)"} as k from x join y on y.a = x.o left join z on z.f = x.f and z.o = x.o and z.b = y.b),
-fin as (select f, m, k from (select *, row_number() over (partition by f order by k desc, m) as rk from c where k > 0) where rk = 1 union all select * from one) {_branch_out("TARGET", rule, "fin")}"""
+c1 as (select f, [o] as m, o as tail, t from r where f not in (select f from one)), s1 as (select f, [''] as m, 0 as k, 0 as had from one where false)"""
+    last = bound or rounds
+    for i in range(2, last + 1):
+        own = f"(select c.f, c.m, c.tail, lo.b as nxt, c.t from c{i - 1} c join lo on lo.a = c.tail)"
+        if policy == "AND":
+            cand = f"select x.* from {own} x semi join l on l.a = x.tail and l.b = x.nxt and l.t = x.t"
+        else:
+            cand = f"""select f, m, tail, nxt, t from (select * from {own} union all select x.f, x.m, x.tail, l.b, l.t from (select distinct f, m, tail from c{i - 1}) x join l on l.a = x.tail)
+group by f, m, tail, nxt, t having count(*) = 1"""
+        keep = f"s.f is null or ({'c.k > 0' if bound else 'c.k = s.k and c.k > 0 and len(c.m) > len(s.m)'})"
+        sql += f""", d{i} as materialized (select f, case when list_contains(m, nxt) then m else list_append(m, nxt) end as m, nxt as tail, t from ({cand})),
+z{i} as (select f, m, tail, count(*) as k from d{i} group by f, m, tail),
+b{i} as materialized (select c.* from (select * from z{i} qualify row_number() over (partition by f order by k desc, m) = 1) c left join s{i - 1} s using (f) where {keep}),
+c{i} as materialized (select d.* from d{i} d semi join b{i} b on b.f = d.f and b.m = d.m and b.tail = d.tail),
+s{i} as materialized (select f, m, k, 0 as had from b{i} union all select s.* from s{i - 1} s anti join b{i} using (f))"""
+    return f"{sql}, fin as (select f, m, k from s{last} union all select f, m, k from one) {_branch_out(side, rule, 'fin')}"
+
+
+def _rows_branch_sql(policy: str, rule: str, rows: str, log: str = USER_DAY, where: str = "true") -> str:
+    """The best pair of targets of each activity, from pair counts: for logs of many activities."""
+    size = "coalesce(p.k, 0)" if policy == "AND" else "x.n + y.n - 2 * coalesce(p.k, 0)"
+    return f"""with {log}, r as materialized (select distinct a as f, b as o, t from ({rows})), own as (select f, o, count(*) as n from r group by f, o),
+p as (select x.f, x.o as o, y.o as u, count(*) as k from r x join r y on x.f = y.f and x.t = y.t and x.o < y.o group by 1, 2, 3),
+c as (select x.f, [x.o, y.o] as m, {size} as k from own x join own y on x.f = y.f and x.o < y.o left join p on p.f = x.f and p.o = x.o and p.u = y.o),
+fin as (select f, m, k from c qualify row_number() over (partition by f order by k desc, m) = 1 union all select f, [min(o)], sum(n) from own group by f having count(*) = 1) {_branch_out("TARGET", rule, "fin", where)}"""
 
 
 #: Each written name of the activity columns with its catalogue spelling; ``written`` has to be a relation of one column w.
@@ -331,6 +457,7 @@ def oracle_sql() -> dict[str, str]:
         out[rule.replace(" ", "_").replace("-", "_")] = sql
     every = (*position.RULES, *existence.RULES, *unordered.RULES, *ordered.RULES)
     fresh = f"ts > timestamp '{CUT}'"
+    second = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
     tr = "user_id::varchar || '-' || ts::date::varchar"
     evt = f"(select {tr} as trace, event_type, (row_number() over (partition by {tr} order by ts, event_id) - 1)::int as pos, ts from events)"
     out |= {
@@ -354,10 +481,22 @@ def oracle_sql() -> dict[str, str]:
         "incremental_ordered": _all_sql(ordered.RULES),
         "text_report": f"select concat_ws('|', rule, event_a, event_b, n_traces::varchar, printf('%.3f', support)) as line from ({_all_sql(every)})",
         "cleaned_log": f"with {CLEANED} select event_type, count(*) as n_events, count(distinct trace) as n_traces, count(ts) as n_timed from cl group by event_type",
-        "mine_cleaned_log": f"with {CLEANED}, {LOG_OF_CLEANED}, {FACTS} select * from ({' union all '.join(_counts_sql(r) for r in MINED)}) where support > 0.02",
+        "mine_cleaned_log": f"with {CLEANED}, {LOG_OF_CLEANED}, {FACTS} select * from ({' union all '.join(_counts_sql(r) for r in every)}) where support > 0.02",
         "p6_found": f"with {FIELDS} select field, event_type from (select field, event_type, count(*) as k, sum(count(*)) over (partition by field) as total from fl group by field, event_type) where k >= 0.05 * total",
         "p6_counts": f"with {FIELDS} select field, event_type, count(*) as n_rows, count(distinct trace) as n_traces from fl group by field, event_type",
-        "p6_lists": f"with {FIELDS} select field, event_type, count(distinct trace) as n_traces, min(trace) as first_trace, max(trace) as last_trace from fl where trace is not null group by field, event_type",
+        "p6_lists": f"with {FIELDS} select field, event_type, count(*) as n_traces, min(trace) as first_trace, max(trace) as last_trace, sum(('0x' || substr(md5(trace), 1, 8))::bigint)::bigint as checksum from (select distinct field, event_type, trace from fl where trace is not null) group by field, event_type",
+    }
+    for kind in ("text_log", "xes_log", "sequence_log"):
+        out[kind] = f"select trace, event_type, pos, {second} as second from {evt}"
+    whole = f"count(distinct trace) as traces, count(*) as events, max({second}) as last_mined from {evt}"
+    out |= {
+        "stored_single_index": out["single_index"],
+        "stored_pair_index": f"with {USER_DAY} select x.e as event_a, y.e as event_b, count(*) as n_pairs, sum(x.p)::bigint as sum_a, sum(y.p)::bigint as sum_b from occ x join occ y on x.t = y.t and x.p < y.p group by 1, 2",
+        "stored_metadata": f"select 'user-day' as log_name, {whole}",
+        "watermark": f"select {whole}",
+        "hard_run": _all_sql(every),
+        "command_line": f"select concat_ws('|', rule, event_a, event_b, n_traces::varchar, printf('%.3f', support)) as line from ({_all_sql(every, where='support > 0.05')})",
+        "report_with_traces": f"with {USER_DAY} select 'precedence' as rule, a as event_a, b as event_b, printf('%.3f', count(*) / (select n from n)::double) as share, count(*) as n_traces, min(t) as first_trace, max(t) as last_trace from ({PRECEDENCE}) group by a, b",
     }
     for side in ("TARGET", "SOURCE"):
         out[f"or_{side.lower()}_b2"] = _or_branch_sql(side)
@@ -376,5 +515,12 @@ def oracle_sql() -> dict[str, str]:
         "rare_filter_and_b2": _set_branch_sql("AND", "TARGET", 2, rare=True),
         "chain_and_b2": _chain_branch_sql("AND"),
         "chain_xor_b2": _chain_branch_sql("XOR"),
+        "chain_and_source_b2": _chain_branch_sql("AND", "SOURCE"),
+        "chain_xor_source_b2": _chain_branch_sql("XOR", "SOURCE"),
+        "chain_and_unbounded": _chain_branch_sql("AND", bound=0),
+        "chain_xor_unbounded": _chain_branch_sql("XOR", bound=0),
+        "choice_and_b2": _rows_branch_sql("AND", "choice", "select x.e as a, y.e as b, v.t from ty x join ty y on x.e < y.e cross join (select distinct t from ev) v where exists (select 1 from st where st.t = v.t and st.e in (x.e, y.e))"),
+        "not_succession_xor_b2": _rows_branch_sql("XOR", "not-succession", ROWS["not-succession"]),
+        "branched_cleaned_log": _rows_branch_sql("AND", "response", RESPONSE, f"{CLEANED}, {LOG_OF_CLEANED}, {FACTS}", "k / (select n from n)::double > 0.02"),
     }
     return out
