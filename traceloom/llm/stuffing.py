@@ -37,7 +37,7 @@ AROUND, DENSE = 4, 0.4
 UNCLEAR = (0.1, 0.6)
 #: The word that every token built like a link or a tag counts as.
 MARK = "://"
-_BUILT = r"(?:L{2,}[-0-9]*[./:@?&=+_~\\][-0-9./:@?&=+_~\\]*L|L{2,}[0-9]{3}|</?L|L>|L[=(]+[\"'<]|\](?=\()|(?<=\s)\W?[#@]L)\S*"
+_BUILT = r"(?:(?<!L)L{2,}+(?:[-0-9]*+[./:@?&=+_~\\][-0-9./:@?&=+_~\\]*+L|[0-9]{3})|</?L|(?<=L)>|(?<=L)[=(]+[\"'<]|\](?=\()|(?<=\s)\W?[#@]L)\S*+"
 #: Names joined by the signs of addresses, a name that runs into a number, mark-up, or a sign that makes a name a tag.
 BUILT_SQL, BUILT = (_BUILT.replace("L", r"\p{L}"), re.compile(_BUILT.replace("L", r"[^\W\d_]")))
 NUMBER = re.compile(r"^\W*\d[\d.,:½¼¾]*\W*$")
@@ -46,17 +46,28 @@ _FROM = "ſàáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 _TO = "saaaaaaceeeeiiiinoooooouuuuyy"
 
 
+def whole_words(text: Column) -> Column:
+    """A text with broken lines joined."""
+    return F.regexp_replace(text, BROKEN, "")
+
+
 def words(text: Column) -> Column:
     """The words of a text in a plain form, as an array: broken lines joined, lower case, letters and digits only, accents and plural s off.
 
-    Other signs part words, but for apostrophes and accents; each link or tag adds a ``MARK``.
+    Other signs part words, but for apostrophes and accents.
     """
-    whole = F.regexp_replace(text, BROKEN, "")
+    return _split(whole_words(text))
+
+
+def _split(whole: Column) -> Column:
     plain = F.translate(F.lower(whole), _FROM + "ﬂﬁ'’‘´`", _TO + "ff")
     only = F.regexp_replace(F.regexp_replace(plain, r"\p{M}+", ""), r"[^\p{L}\p{N}]+", " ")
-    listed = F.filter(F.split(F.regexp_replace(only, r"s+(?= |$)", ""), " "), lambda w: w != "")
-    marks = F.regexp_count(F.concat(F.lit(" "), whole), F.lit(BUILT_SQL))
-    return F.when(marks > 0, F.concat(listed, F.array_repeat(F.lit(MARK), marks))).otherwise(listed)
+    return F.filter(F.split(F.regexp_replace(only, r"s+(?= |$)", ""), " "), lambda w: w != "")
+
+
+def built_marks(whole: Column) -> Column:
+    """A ``MARK`` for each token built like a link or a tag, as an array."""
+    return F.array_repeat(F.lit(MARK), F.regexp_count(F.concat(F.lit(" "), whole), F.lit(BUILT_SQL)))
 
 
 def plain_words(token: str) -> list[str]:
@@ -89,7 +100,8 @@ def page_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
 
 
 def _counted(pages: DataFrame) -> DataFrame:
-    listed = pages.repartition("key").select("key", "lang", F.explode(words(F.col("text"))).alias("word"))
+    whole = pages.repartition("key").select("key", "lang", whole_words(F.col("text")).alias("whole"))
+    listed = whole.select("key", "lang", F.explode(F.concat(_split(F.col("whole")), built_marks(F.col("whole")))).alias("word"))
     return listed.groupBy(*PAGE, "word").agg(F.count(F.lit(1)).cast("int").alias("f"))
 
 
