@@ -214,16 +214,15 @@ class MiningState:
         if not hard:
             delta = self._counts(m).unionByName(delta)
         delta = delta.groupBy("rule", "event_a", "event_b").agg(F.sum("n").alias("n")).where("n <> 0")
-        delta.coalesce(1).write.parquet(f"{self.dir}/counts/{segment}")  # as many rows as pairs of activities
+        delta.write.parquet(f"{self.dir}/counts/{segment}")  # as many rows as pairs of activities
         self._at("counts")
         replaced = bool(held) and not hard
         if replaced:
             self._write(owners.select("trace", F.col("segment").alias("old")), "replaced", segment)
         meta = RunMetadata(**m["meta"])
-        added = fresh.agg(F.count(F.lit(1)).alias("e"), F.max("ts").cast("string").alias("m")).first()
-        gone = old.count() if replaced else 0
-        events = added.e if hard else meta.events - gone + added.e
-        latest = added.m or "" if hard else max(meta.last_declare_mined, added.m or "")
+        events = (0 if hard else meta.events) + (f.st.agg(F.sum(F.col("c") * weight)).first()[0] or 0)
+        last = incoming.agg(F.max("ts").cast("string")).first()[0] or ""
+        latest = max(meta.last_declare_mined, last)
         traces = self.spark.read.schema(COUNTS_SCHEMA).parquet(f"{self.dir}/counts/{segment}").where("rule = 'traces'").agg(F.sum("n")).first()[0] or 0
         meta = RunMetadata(log_name=name or meta.log_name, traces=traces, events=events, has_previous_stored=True, last_declare_mined=latest)
         fresh_m = {

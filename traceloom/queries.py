@@ -320,8 +320,12 @@ COUNTS = {
 }
 
 
-def _counts_sql(rule: str) -> str:
-    inner = COUNTS.get(rule) or f"select a, b, count(*) as k from ({ROWS[rule]}) group by a, b"
+#: For logs of many activities, where all traces of all pairs are too many.
+NOT_SUCCESSION = f"select a, b, (select n from n) - count(*) as k from ({RESPONSE}) group by a, b"
+
+
+def _counts_sql(rule: str, many: bool = False) -> str:
+    inner = NOT_SUCCESSION if many and rule == "not-succession" else COUNTS.get(rule) or f"select a, b, count(*) as k from ({ROWS[rule]}) group by a, b"
     return f"select '{rule}' as rule, a as event_a, b as event_b, k::bigint as n_traces, k / (select n from n)::double as support from ({inner}) where k > 0"
 
 
@@ -481,7 +485,7 @@ def oracle_sql() -> dict[str, str]:
         "incremental_ordered": _all_sql(ordered.RULES),
         "text_report": f"select concat_ws('|', rule, event_a, event_b, n_traces::varchar, printf('%.3f', support)) as line from ({_all_sql(every)})",
         "cleaned_log": f"with {CLEANED} select event_type, count(*) as n_events, count(distinct trace) as n_traces, count(ts) as n_timed from cl group by event_type",
-        "mine_cleaned_log": f"with {CLEANED}, {LOG_OF_CLEANED}, {FACTS} select * from ({' union all '.join(_counts_sql(r) for r in every)}) where support > 0.02",
+        "mine_cleaned_log": f"with {CLEANED}, {LOG_OF_CLEANED}, {FACTS} select * from ({' union all '.join(_counts_sql(r, True) for r in every)}) where support > 0.02",
         "p6_found": f"with {FIELDS} select field, event_type from (select field, event_type, count(*) as k, sum(count(*)) over (partition by field) as total from fl group by field, event_type) where k >= 0.05 * total",
         "p6_counts": f"with {FIELDS} select field, event_type, count(*) as n_rows, count(distinct trace) as n_traces from fl group by field, event_type",
         "p6_lists": f"with {FIELDS} select field, event_type, count(*) as n_traces, min(trace) as first_trace, max(trace) as last_trace, sum(('0x' || substr(md5(trace), 1, 8))::bigint)::bigint as checksum from (select distinct field, event_type, trace from fl where trace is not null) group by field, event_type",
