@@ -191,14 +191,19 @@ class MiningState:
         rows = rows.groupBy("trace", "pos").agg(F.max_by(F.struct("event_type", "ts"), F.col("ts")).alias("_v"), F.max(F.struct("event_type", "ts")).alias("_w"))
         rows = rows.select("trace", F.coalesce("_v", "_w")["event_type"].alias("event_type"), F.coalesce("_v", "_w")["ts"].alias("ts"), "pos")
         incoming = materialize(rows)
-        if incoming.isEmpty() and not hard:
+        came = incoming.agg(F.count(F.lit(1)).alias("n"), F.max("ts").cast("string").alias("last")).first()
+        if not came.n and not hard:
             return now
         segment = uuid.uuid4().hex
-        known = self.table("traces", m)
-        owners = materialize(known if hard else known.join(incoming.select("trace").distinct(), "trace", "left_semi"))
-        held = sorted(r[0] for r in owners.select("segment").distinct().collect())  # at most COMPACT segments
-        old = self._read("seq", LOG_SCHEMA, held).join(owners, ["trace", "segment"], "left_semi").select("trace", "event_type", "ts", "pos")
-        whole = old.join(incoming.select("trace", "pos"), ["trace", "pos"], "left_anti").unionByName(incoming)
+        held: list[str] = []
+        whole = incoming
+        if m["segments"]:
+            known = self.table("traces", m)
+            owners = materialize(known if hard else known.join(incoming.select("trace").distinct(), "trace", "left_semi"))
+            held = sorted(r[0] for r in owners.select("segment").distinct().collect())  # at most COMPACT segments
+        if held:
+            old = self._read("seq", LOG_SCHEMA, held).join(owners, ["trace", "segment"], "left_semi").select("trace", "event_type", "ts", "pos")
+            whole = old.join(incoming.select("trace", "pos"), ["trace", "pos"], "left_anti").unionByName(incoming)
         self._write(whole, "seq", segment)
         fresh = self._read("seq", LOG_SCHEMA, [segment]).select("trace", "event_type", "ts", "pos")
         # both states of the touched traces in one pass, told apart by a sign before their names
@@ -221,8 +226,7 @@ class MiningState:
             self._write(owners.select("trace", F.col("segment").alias("old")), "replaced", segment)
         meta = RunMetadata(**m["meta"])
         events = (0 if hard else meta.events) + (f.st.agg(F.sum(F.col("c") * weight)).first()[0] or 0)
-        last = incoming.agg(F.max("ts").cast("string")).first()[0] or ""
-        latest = max(meta.last_declare_mined, last)
+        latest = max(meta.last_declare_mined, came.last or "")
         traces = self.spark.read.schema(COUNTS_SCHEMA).parquet(f"{self.dir}/counts/{segment}").where("rule = 'traces'").agg(F.sum("n")).first()[0] or 0
         meta = RunMetadata(log_name=name or meta.log_name, traces=traces, events=events, has_previous_stored=True, last_declare_mined=latest)
         fresh_m = {
